@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from funweave.llm import frequencies as fr, packing as pk, similar_sets as ss, tokens as tk, top_items as ti
+from funweave.llm import frequencies as fr, packing as pk, residue as rs, similar_sets as ss, tokens as tk, top_items as ti
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,6 +28,8 @@ QUERIES = {
     "p6_links": lambda s, d: ss.similar_links(_t(s, d, "seed"), "protein", "go_id").select("record", "n_links"),
     "p8_ids": lambda s, d: tk.token_ids(_t(s, d, "documents")),
     "p9_containers": lambda s, d: _packed(s, d),
+    "p10_found": lambda s, d: rs.residue(_t(s, d, "documents")),
+    "p10_validation": lambda s, d: rs.validate(_t(s, d, "documents")),
     "p9_fill": lambda s, d: pk.fill(_packed(s, d)),
 }
 
