@@ -59,7 +59,7 @@ SLOT = re.compile(
     r"\{\{+[^{}]*\}\}+|\$\{[^}]*\}|#\{[^}]*\}|<%.*?%>|\{%.*?%\}|%%[\w. ]+%%|@@[\w. ]+@@|__[A-Za-z][A-Za-z_.]*__|&&[\w. ]+&&|\[% ?[\w. ]+ ?%\]|%\(\w+\)s"
     r"|[\[<{(]\s*(?:insert|your|enter|add|todo|tbd|replace|fill|type|put|choose)\b[^\]>})]*[\]>})]|(?:goes|belongs) here\b|\bTBD TBD\b|\bX{5,}\b"
     r"|\*\*\* [\w: ]+ \*\*\*|-- [\w: ]+ --|(?<!\w)\{ ?[A-Za-z_.]*\d? ?\}|\(null\)|<<[\w. ]+>>|<no value>|\(\?{3,}\)|\[object object\]"
-    r"|\$[A-Za-z_][A-Za-z_. ]*\$(?!\w)|[\[<{(]missing [\w. ]+[\]>})]|\[\[[\w]+[._][\w.]+\]\]|\[%.*?%\]|#(?:NAME|N/A|REF|VALUE)[?!]?"
+    r"|\$[A-Za-z_][A-Za-z_. ]{3,}\$(?!\w)|[\[<{(]missing [\w. ]+[\]>})]|\[\[[\w. ]+\]\]|\[%.*?%\]|#(?:NAME|N/A|REF|VALUE)[?!]?"
     r"|to be (?:filled in|added|completed|written|supplied)\b(?=\W*[\]>})*])|\b(undefined|none|null|nan) \1\b",
     re.I,
 )
