@@ -233,14 +233,19 @@ def subtree_sizes(terms: DataFrame, links: DataFrame, tail_links: int = TAIL_LIN
 
 
 def occurrences(terms: DataFrame, relations: DataFrame, tail_links: int = TAIL_LINKS) -> DataFrame:
+    """The occurrences of all terms over their is_a and part_of links."""
+    nodes = terms.filter("go_id is not null").select(F.col("go_id").alias("term"))
+    return unfold(nodes, resolved_links(terms, relations), tail_links)
+
+
+def unfold(nodes: DataFrame, links: DataFrame, tail_links: int = TAIL_LINKS) -> DataFrame:
     """root, go_id, lo, hi, depth, path (from the root down): one row per path of a term; links on loops are left out.
 
     The links, with the offset of each child below its parent, are broadcast to the tasks only if they are no more
     than tail_links; beyond that each level is a join.
     """
-    links = cut(resolved_links(terms, relations), "links")
+    links = cut(links, "links")
     links = cut(links.join(loop_links(links, tail_links), ["child", "parent"], "left_anti"), "acyclic")
-    nodes = terms.filter("go_id is not null").select(F.col("go_id").alias("term"))
     sizes = subtree_sizes(nodes, links, tail_links)
     before = F.sum("size").over(W.partitionBy("parent").orderBy("child").rowsBetween(W.unboundedPreceding, -1))
     steps = cut(
@@ -254,7 +259,7 @@ def occurrences(terms: DataFrame, relations: DataFrame, tail_links: int = TAIL_L
     if steps.count() <= tail_links:
         rows = steps.select("parent", "child", "off", "size").toPandas()
         table = {p: list(zip(g["child"], g["off"], g["size"])) for p, g in rows.groupby("parent", sort=False)}
-        shared = terms.sparkSession.sparkContext.broadcast(table)
+        shared = nodes.sparkSession.sparkContext.broadcast(table)
 
         def expand(batches):  # noqa: ANN001, ANN202
             below = shared.value
@@ -275,7 +280,7 @@ def occurrences(terms: DataFrame, relations: DataFrame, tail_links: int = TAIL_L
             "root", F.col("child").alias("go_id"), (F.col("lo") + F.col("off")).alias("lo"), (F.col("lo") + F.col("off") + F.col("size")).alias("hi"),
             F.lit(1).alias("depth"), F.concat("path", F.array("child")).alias("path"),
         )
-        width = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return front.union(first.repartition(width, "go_id", "root").mapInPandas(expand, first.schema))
     out = front
     while front.limit(1).count():

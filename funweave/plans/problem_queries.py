@@ -50,6 +50,10 @@ r AS (
   UNION ALL SELECT 'go_id', upper(trim(go_id, ' ' || chr(9) || chr(10) || chr(13))), db_object_id FROM goa WHERE go_id IS NOT NULL)
 SELECT field_name, key_text, count(*) AS n_rows, count(DISTINCT db_object_id) AS n_members FROM r WHERE key_text <> '' GROUP BY ALL""",
 }
+SQL["p1_descendants"] = f"""WITH RECURSIVE {_LINKS},
+good AS (SELECT l.* FROM links l LEFT JOIN reach r ON r.child = l.parent AND r.parent = l.child WHERE l.child <> l.parent AND r.child IS NULL),
+up AS (SELECT child, parent FROM good UNION SELECT u.child, g.parent FROM up u JOIN good g ON g.child = u.parent)
+SELECT parent AS go_id, child AS descendant FROM up"""
 SQL["p3_found"] = f"""
 SELECT field_name, key_text FROM ({SQL["p3_key_stats"]}) WHERE n_rows >= 0.02 * (SELECT count(*) FROM goa)"""
 _GAF_QUOTED = "list_bool_or(list_transform(f, lambda x: starts_with(x, '\"') AND NOT regexp_full_match(x, '\"([^\"]|\"\")*\"')))"
