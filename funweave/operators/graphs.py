@@ -55,7 +55,7 @@ def shared_pairs(binary: DataFrame) -> DataFrame:
     """p1 < p2, co: pairs with a term in common. Terms are met in blocks of a pair's smaller hash, so that a term held by
     most proteins is spread over many tasks; the output is the number of such pairs."""
     salted = binary.withColumn("salt", F.pmod(F.xxhash64("protein_id"), F.lit(16)))
-    other = binary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long"))
+    other = binary.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
     x = salted.select(F.col("protein_id").alias("p1"), "term_id", "salt")
     y = other.select(F.col("protein_id").alias("p2"), "term_id", "salt")
     return x.join(y, ["term_id", "salt"]).filter("p1 < p2").groupBy("p1", "p2").agg(F.count("*").alias("co"))

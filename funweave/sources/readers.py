@@ -28,7 +28,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def obo_tags(spark: SparkSession, path: str) -> DataFrame:
     """stanza_no, stanza, tag, value: the tag lines of every stanza, the last included; comments and modifiers cut off."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.regexp_replace("value", r"\\\n", "").alias("t"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\\\n", "").alias("t"))
     parts = text.select(F.posexplode(F.split(F.concat(F.lit("\n"), "t"), r"\n\[")).alias("stanza_no", "s")).filter("stanza_no > 0")
     lines = parts.select("stanza_no", F.split_part("s", F.lit("]"), F.lit(1)).alias("stanza"), F.explode(F.split("s", r"\r?\n")).alias("line"))
     value = F.trim(F.regexp_replace(F.regexp_extract("line", r"^[\w-]+:\s*(.*)$", 1), r"\s*(?:\{[^}]*\}\s*)?(?:!.*)?$", ""))
