@@ -139,6 +139,8 @@ def features(segs: list[str], first: list[bool]) -> tuple[np.ndarray, np.ndarray
 
 def fit(segs: list[str], first: list[bool], labels: np.ndarray, rounds: int = 150, l2: float = 1e-6) -> np.ndarray:
     """Weights and, last, the bias of a logistic regression; both labels weigh the same in all."""
+    if not segs:
+        return np.append(np.zeros(BUCKETS), -30).astype(np.float32)
     x, at = features(segs, first)
     row = np.repeat(np.arange(len(segs)), np.diff(np.append(at, len(x))))
     once = np.unique(row.astype(np.int64) * BUCKETS + x)
