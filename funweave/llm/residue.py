@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BUCKETS = 1 << 18
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 SEGMENT = re.compile(r"[\n\r\t  ]+|(?<=[.!?…。])\s+")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -195,7 +195,7 @@ def labelled(docs: DataFrame, sample_segments: int) -> pd.DataFrame:
     return pdf
 
 
-def train(docs: DataFrame, sample_docs: int = 20_000, sample_segments: int = 12_000) -> np.ndarray:
+def train(docs: DataFrame, sample_docs: int = 40_000, sample_segments: int = 12_000) -> np.ndarray:
     """A model fitted on a bounded sample of the given documents."""
     usable = docs.filter("text is not null and text <> ''")
     n = max(1, usable.count())
