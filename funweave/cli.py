@@ -25,8 +25,8 @@ def combine(spark: SparkSession, a: argparse.Namespace) -> None:
     edges = edges.groupBy(F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2")).agg(*(F.sum(n).alias(n) for n in names)).filter("p1 <> p2")
     n = edges.select("p1").union(edges.select("p2")).distinct().count()
     scaled = gr.channel_norm(edges, names)
-    target = gr.seed_jaccard(edges, gr.binarised(rd.scores(spark, a.seed), a.threshold))
-    sk.write_tsv(gr.combined(scaled, names, gr.coefficients(scaled, target, names, n)), a.output)
+    coef = gr.seed_coefficients(scaled, gr.binarised(rd.scores(spark, a.seed), a.threshold), names, n)
+    sk.write_tsv(gr.combined(scaled, names, coef), a.output)
 
 
 def hmmer_seed(spark: SparkSession, a: argparse.Namespace) -> None:

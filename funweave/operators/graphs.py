@@ -5,8 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from funweave.scratch import cut
+
+BLOCK = 8192  # classes of equal term sets that one side of a task holds
+
 
 def canonical(edges: DataFrame, weight: str = "score") -> DataFrame:
     """p1 < p2, weight: ends in order, self-edges dropped, duplicates summed."""
@@ -61,6 +66,44 @@ def shared_pairs(binary: DataFrame) -> DataFrame:
     return x.join(y, ["term_id", "salt"]).filter("p1 < p2").groupBy("p1", "p2").agg(F.count("*").alias("co"))
 
 
+def _block_sum(block: pa.Table) -> pa.Table:
+    """The Jaccard sum of the pairs between both sides of a block, or within it if the sides are one."""
+    code = block["terms"].combine_chunks().flatten().dictionary_encode()
+    n_terms, code = len(code.dictionary), code.indices.to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(np.asarray(block["size"]))])
+    right, left = np.asarray(block["right"]), np.asarray(block["left"])
+    size, weight = np.asarray(block["size"]).astype(float), np.asarray(block["weight"]).astype(float)
+    row = np.full(len(right), -1)
+    row[right] = np.arange(right.sum())
+    owner = np.repeat(row, np.diff(at))
+    held, owner = code[owner >= 0], owner[owner >= 0]
+    order = np.argsort(held, kind="stable")
+    owner, ends = owner[order], np.concatenate([[0], np.cumsum(np.bincount(held, minlength=n_terms))])
+    other_size, other_weight, total = size[right], weight[right], 0.0
+    if len(other_size):
+        for k in np.flatnonzero(left):
+            co = np.bincount(np.concatenate([owner[ends[t] : ends[t + 1]] for t in code[at[k] : at[k + 1]]]), minlength=len(other_size))
+            total += weight[k] * float((co / (size[k] + other_size - co + 1)) @ other_weight)
+    if (left & right).any():
+        total = (total - float((weight * size / (size + 1)).sum())) / 2
+    return pa.table({"y": [total]})
+
+
+def jaccard_total(binary: DataFrame) -> float:
+    """The sum of seed_jaccard's y over all pairs of proteins, exactly, without listing them.
+
+    Proteins with equal terms form a class, which counts by its number of proteins. Classes are dealt into blocks by the
+    hash of their terms, and a task counts the common terms between two blocks; only its sum leaves it.
+    """
+    sets = binary.filter("protein_id is not null and term_id is not null").groupBy("protein_id").agg(F.sort_array(F.collect_set("term_id")).alias("terms"))
+    classes = cut(sets.groupBy("terms").agg(F.count("*").alias("weight")).withColumn("size", F.size("terms").cast("long")), "classes")
+    n = max(4, -(-classes.count() // BLOCK))
+    own = classes.withColumn("own", F.pmod(F.xxhash64("terms"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    one, two = F.least("own", "other"), F.greatest("own", "other")
+    rows = own.select(one.alias("one"), two.alias("two"), "terms", "size", "weight", (F.col("own") == one).alias("left"), (F.col("own") == two).alias("right"))
+    return rows.groupBy("one", "two").applyInArrow(_block_sum, "y double").agg(F.sum("y")).collect()[0][0] or 0.0
+
+
 def channel_norm(edges: DataFrame, channels: list[str]) -> DataFrame:
     """Each channel divided by its greatest value, then multiplied by the greatest quotient."""
     eps = 2.220446049250313e-16
@@ -69,9 +112,11 @@ def channel_norm(edges: DataFrame, channels: list[str]) -> DataFrame:
     return scaled
 
 
-def coefficients(edges: DataFrame, target: DataFrame, channels: list[str], n_proteins: int) -> np.ndarray:
+def coefficients(edges: DataFrame, target: DataFrame, channels: list[str], n_proteins: int, total: float | None = None) -> np.ndarray:
     """Least-squares coefficients of the channels and, last, the intercept, over all n(n-1)/2 pairs.
 
+    The target lists every pair that is not 0; if it lists only those with an edge, total is its sum over all pairs.
+
     Only sums over pairs that have a channel or a target are gathered; the rest of the pairs are zeros and enter
     through their number alone. The system has one row per channel and is solved on the driver, by minimum norm.
     """
@@ -85,10 +130,15 @@ def coefficients(edges: DataFrame, target: DataFrame, channels: list[str], n_pro
             gram[i, j] = gram[j, i] = got[at]
             at += 1
     right[:k], gram[k, :k] = got[at : at + k], got[at + k : at + 2 * k]
-    gram[:k, k], gram[k, k], right[k] = gram[k, :k], n_proteins * (n_proteins - 1) / 2, got[-1]
+    gram[:k, k], gram[k, k], right[k] = gram[k, :k], n_proteins * (n_proteins - 1) / 2, got[-1] if total is None else total
     return np.linalg.lstsq(gram, right, rcond=None)[0]
 
 
+def seed_coefficients(edges: DataFrame, binary: DataFrame, channels: list[str], n_proteins: int) -> np.ndarray:
+    """The coefficients with the seed's Jaccard similarity of all pairs as target; single values are needed on edges only."""
+    return coefficients(edges, seed_jaccard(edges, binary), channels, n_proteins, jaccard_total(binary))
+
+
 def combined(edges: DataFrame, channels: list[str], coef: np.ndarray) -> DataFrame:
     """p1, p2, score: the weighted sum of the channels; the intercept is dropped."""
     total = sum((F.lit(float(c)) * F.coalesce(F.col(n), F.lit(0.0)) for n, c in zip(channels, coef)), F.lit(0.0))

@@ -26,13 +26,13 @@ def predict(
     truth: DataFrame | None = None, settings: Settings = Settings(), alias: str = "run",
 ) -> DataFrame:
     """protein_id, term_id, score. channels: p1 < p2 and one column for each name; truth clamps before and after."""
-    config = asdict(settings) | {"alias": alias, "names": names}
+    config = asdict(settings) | {"alias": alias, "names": names, "target": "all pairs"}
 
     def graph() -> DataFrame:
         scaled = gr.channel_norm(channels, names)
         n = channels.select("p1").union(channels.select("p2")).distinct().count()
-        target = gr.seed_jaccard(channels, gr.binarised(seed_a, settings.tau))
-        return gr.combined(scaled, names, gr.coefficients(scaled, target, names, n)).filter("score <> 0")
+        coef = gr.seed_coefficients(scaled, gr.binarised(seed_a, settings.tau), names, n)
+        return gr.combined(scaled, names, coef).filter("score <> 0")
 
     w = stage(spark, folder, "graph", config, graph)
     tied = lambda s: co.clamp(s, truth) if truth is not None else s

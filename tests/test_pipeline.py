@@ -107,6 +107,20 @@ def test_combination(spark):
     assert table(gr.combined(scaled, ["c1", "c2"], coef))["c", "d"] == pytest.approx(-0.046985816)
 
 
+def test_combination_counts_pairs_without_edge(spark):
+    # a and c share both terms and e and f their one, but only a-b and c-d have an edge
+    seed = [("a", "t1"), ("a", "t2"), ("b", "t1"), ("c", "t1"), ("c", "t2"), ("d", "t4"), ("e", "t3"), ("f", "t3")]
+    binary = spark.createDataFrame(seed, "protein_id string, term_id string")
+    every = gr.seed_jaccard(gr.shared_pairs(binary), binary)
+    assert gr.jaccard_total(binary) == pytest.approx(2 / 3 + 2 * (1 / 3) + 1 / 2)
+    assert gr.jaccard_total(binary) == pytest.approx(sum(table(every).values()))
+    assert gr.jaccard_total(binary.limit(0)) == 0.0
+    edges = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 0.5)], "p1 string, p2 string, c1 double")
+    got = gr.seed_coefficients(edges, binary, ["c1"], 6)
+    assert list(got) == [pytest.approx(x) for x in gr.coefficients(edges, every, ["c1"], 6)]
+    assert abs(got[1] - gr.coefficients(edges, gr.seed_jaccard(edges, binary), ["c1"], 6)[1]) > 0.05
+
+
 def test_metrics(spark):
     pred = [("p", f"t{i}", s) for i, s in enumerate([0.9, 0.8, 0.8, 0.3, 0.0, 0.0])]
     truth = spark.createDataFrame([("p", "t0"), ("p", "t2"), ("p", "t5")], "protein_id string, term_id string")
