@@ -23,9 +23,10 @@ def combine(spark: SparkSession, a: argparse.Namespace) -> None:
     edges = rd.collection(spark, a.collection)
     names = a.selection.split(",") if a.selection else edges.columns[2:]
     edges = edges.groupBy(F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2")).agg(*(F.sum(n).alias(n) for n in names)).filter("p1 <> p2")
-    n = edges.select("p1").union(edges.select("p2")).distinct().count()
+    known = rd.fasta(spark, a.fasta).select(F.col("name").alias("protein_id"))
+    edges = gr.within(edges, known)
     scaled = gr.channel_norm(edges, names)
-    coef = gr.seed_coefficients(scaled, gr.binarised(rd.scores(spark, a.seed), a.threshold), names, n)
+    coef = gr.seed_coefficients(scaled, rd.scores(spark, a.seed), names, known, a.threshold)
     sk.write_tsv(gr.combined(scaled, names, coef), a.output)
 
 
@@ -63,7 +64,7 @@ def top_predictions(spark: SparkSession, a: argparse.Namespace) -> None:
 
 COMMANDS = {
     "diffuse": (diffuse, ["graph", "labelling"], {"method": "laplacian", "rounds": 60}),
-    "combine": (combine, ["collection", "seed"], {"selection": "", "threshold": 0.2}),
+    "combine": (combine, ["collection", "seed", "fasta"], {"selection": "", "threshold": 0.2}),
     "hmmer-seed": (hmmer_seed, ["evalue_file", "obo"], {"threshold": 1e-4}),
     "interpro-seed": (interpro_seed, ["interpro_file", "obo"], {}),
     "rescore-continuous": (rescore, ["prediction", "obo"], {"th_start": 0.0}),

@@ -24,6 +24,12 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return e.union(e.select("j", "i", "w"))
 
 
+def within(edges: DataFrame, proteins: DataFrame) -> DataFrame:
+    """The edges with both ends in the index."""
+    ends = proteins.select("protein_id")
+    return edges.join(ends.toDF("p1"), "p1", "left_semi").join(ends.toDF("p2"), "p2", "left_semi").select(edges.columns)
+
+
 def homology(hits: DataFrame, default: bool = False) -> tuple[DataFrame, float]:
     """Edges of the homology graph and the weight of pairs without a hit.
 
@@ -134,9 +140,14 @@ def coefficients(edges: DataFrame, target: DataFrame, channels: list[str], n_pro
     return np.linalg.lstsq(gram, right, rcond=None)[0]
 
 
-def seed_coefficients(edges: DataFrame, binary: DataFrame, channels: list[str], n_proteins: int) -> np.ndarray:
-    """The coefficients with the seed's Jaccard similarity of all pairs as target; single values are needed on edges only."""
-    return coefficients(edges, seed_jaccard(edges, binary), channels, n_proteins, jaccard_total(binary))
+def seed_coefficients(edges: DataFrame, seed: DataFrame, channels: list[str], proteins: DataFrame, tau: float = 0.2) -> np.ndarray:
+    """The coefficients with the seed's Jaccard similarity of all pairs as target; single values are needed on edges only.
+
+    proteins: the index, protein_id; all of them count, with or without an edge or a seed, and no others.
+    """
+    index = proteins.select("protein_id").filter("protein_id is not null").distinct()
+    binary = cut(binarised(seed.join(index, "protein_id", "left_semi"), tau), "binary")
+    return coefficients(edges, seed_jaccard(edges, binary), channels, index.count(), jaccard_total(binary))
 
 
 def combined(edges: DataFrame, channels: list[str], coef: np.ndarray) -> DataFrame:

@@ -105,8 +105,7 @@ def q_transfer(s: SparkSession, d: str) -> DataFrame:
 def q_coefficients(s: SparkSession, d: str) -> DataFrame:
     e = cut(channels(s, d), "channels")
     scaled = gr.channel_norm(e, ["c1", "c2"])
-    n = e.select("p1").union(e.select("p2")).distinct().count()
-    c = gr.seed_coefficients(scaled, gr.binarised(seed(s, d)), ["c1", "c2"], n)
+    c = gr.seed_coefficients(scaled, seed(s, d), ["c1", "c2"], read(s, d, "proteins"))
     rows = s.createDataFrame([("c1", float(c[0])), ("c2", float(c[1])), ("intercept", float(c[2]))], "name string, coef double")
     return rounded(rows, "coef")
 
@@ -114,8 +113,7 @@ def q_coefficients(s: SparkSession, d: str) -> DataFrame:
 def q_combined(s: SparkSession, d: str) -> DataFrame:
     e = cut(channels(s, d), "channels")
     scaled = gr.channel_norm(e, ["c1", "c2"])
-    n = e.select("p1").union(e.select("p2")).distinct().count()
-    return rounded(gr.combined(scaled, ["c1", "c2"], gr.seed_coefficients(scaled, gr.binarised(seed(s, d)), ["c1", "c2"], n)), "score")
+    return rounded(gr.combined(scaled, ["c1", "c2"], gr.seed_coefficients(scaled, seed(s, d), ["c1", "c2"], read(s, d, "proteins"))), "score")
 
 
 def diffused(method: str):  # noqa: ANN201

@@ -22,16 +22,15 @@ class Settings:
 
 
 def predict(
-    spark: SparkSession, folder: str, channels: DataFrame, names: list[str], seed_a: DataFrame, seed_b: DataFrame,
+    spark: SparkSession, folder: str, channels: DataFrame, names: list[str], seed_a: DataFrame, seed_b: DataFrame, proteins: DataFrame,
     truth: DataFrame | None = None, settings: Settings = Settings(), alias: str = "run",
 ) -> DataFrame:
-    """protein_id, term_id, score. channels: p1 < p2 and one column for each name; truth clamps before and after."""
-    config = asdict(settings) | {"alias": alias, "names": names, "target": "all pairs"}
+    """protein_id, term_id, score. channels: p1 < p2 and one column for each name; proteins: the index, protein_id; truth clamps before and after."""
+    config = asdict(settings) | {"alias": alias, "names": names, "target": "all pairs of the index"}
 
     def graph() -> DataFrame:
-        scaled = gr.channel_norm(channels, names)
-        n = channels.select("p1").union(channels.select("p2")).distinct().count()
-        coef = gr.seed_coefficients(scaled, gr.binarised(seed_a, settings.tau), names, n)
+        scaled = gr.channel_norm(gr.within(channels, proteins), names)
+        coef = gr.seed_coefficients(scaled, seed_a, names, proteins, settings.tau)
         return gr.combined(scaled, names, coef).filter("score <> 0")
 
     w = stage(spark, folder, "graph", config, graph)

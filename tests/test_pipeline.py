@@ -116,11 +116,23 @@ def test_combination_counts_pairs_without_edge(spark):
     assert gr.jaccard_total(binary) == pytest.approx(sum(table(every).values()))
     assert gr.jaccard_total(binary.limit(0)) == 0.0
     edges = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 0.5)], "p1 string, p2 string, c1 double")
-    got = gr.seed_coefficients(edges, binary, ["c1"], 6)
+    got = gr.coefficients(edges, gr.seed_jaccard(edges, binary), ["c1"], 6, gr.jaccard_total(binary))
     assert list(got) == [pytest.approx(x) for x in gr.coefficients(edges, every, ["c1"], 6)]
     assert abs(got[1] - gr.coefficients(edges, gr.seed_jaccard(edges, binary), ["c1"], 6)[1]) > 0.05
 
 
+def test_combine_command_counts_the_index(spark, tmp_path):
+    (tmp_path / "p.fa").write_text("".join(f">{x}\nMK\n" for x in "abcdefgh"))
+    (tmp_path / "s.tsv").write_text("".join(f"{p}\t{t}\t1.0\n" for p, t in ("a1", "b1", "c1", "c2", "e2", "z1")))
+    (tmp_path / "c.tsv").write_text("protein1\tprotein2\tx\na\tb\t2.0\nc\td\t1.0\na\tz\t9.0\n")
+    args = ["combine", "--collection", str(tmp_path / "c.tsv"), "--seed", str(tmp_path / "s.tsv"), "--fasta", str(tmp_path / "p.fa")]
+    cli.main([*args, "--output", str(tmp_path / "o")])
+    # x = 1 and 0.5, y = 1/2 for a-b; 28 pairs with y = 1/2 + 3 * (1/3) - the z outside of the index has no pair
+    y = 1 / 2 + 3 * (1 / 3)
+    c = (0.5 - 1.5 * y / 28) / (1.25 - 1.5 * 1.5 / 28)
+    assert {tuple(r)[:2]: r[2] for r in rd.graph(spark, str(tmp_path / "o")).collect()} == {("a", "b"): pytest.approx(c), ("c", "d"): pytest.approx(c / 2)}
+
+
 def test_metrics(spark):
     pred = [("p", f"t{i}", s) for i, s in enumerate([0.9, 0.8, 0.8, 0.3, 0.0, 0.0])]
     truth = spark.createDataFrame([("p", "t0"), ("p", "t2"), ("p", "t5")], "protein_id string, term_id string")
