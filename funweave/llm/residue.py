@@ -1,14 +1,14 @@
 """Template residue, filler, error messages and demands for scripts (problem 10).
 
-A text is read in segments (lines and sentences). Phrase and response-status patterns give weak labels to a bounded
-sample of segments; a regularised logistic regression is trained on hashed n-grams of words and marks, on length and
+A text is read in segments (lines and sentences). Phrase and response-status patterns give weak labels to segments;
+a regularised logistic regression is trained on a bounded number of them, on hashed n-grams of words and marks, on length and
 on title position, so that wordings outside the patterns are found by the words they share. The model then scores
 every segment of every text, whole; a text is a case if one segment's probability reaches the threshold. Segments that
 speak of such things (quoted, explained, counted) are labelled negative. Texts that are null, empty or too short to
 hold a segment are no cases.
 
-Bounds: at most `sample_docs` documents are read for training (by a hash of the text, so that the choice does not
-depend on order) and at most `sample_segments` distinct segments of each label are fitted, on the driver. Hosts
+Bounds: the segments of all documents are labelled, in a distributed pass; at most `sample_segments` distinct ones of
+each label (chosen by frequency and hash, so that the choice does not depend on order) are fitted, on the driver. Hosts
 (sources) whose hash falls in one fifth are held out of the training for `validate`.
 """
 
@@ -195,13 +195,9 @@ def labelled(docs: DataFrame, sample_segments: int) -> pd.DataFrame:
     return pdf
 
 
-def train(docs: DataFrame, sample_docs: int = 40_000, sample_segments: int = 12_000) -> np.ndarray:
-    """A model fitted on a bounded sample of the given documents."""
-    usable = docs.filter("text is not null and text <> ''")
-    n = max(1, usable.count())
-    share = min(1.0, sample_docs / n)
-    sample = usable.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = labelled(sample, sample_segments)
+def train(docs: DataFrame, sample_segments: int = 12_000) -> np.ndarray:
+    """A model fitted on a bounded sample of the labelled segments of all the given documents."""
+    rows = labelled(docs.filter("text is not null and text <> ''"), sample_segments)
     return fit(list(rows["segment"]), list(rows["first"]), rows["label"].to_numpy(float))
 
 

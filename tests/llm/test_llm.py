@@ -117,3 +117,11 @@ def test_residue(spark):
     r = rs.validate(docs).collect()[0]
     assert r.precision >= 0.7 and r.recall >= 0.5
     assert rs.residue(docs.limit(0)).count() == 0
+
+
+def test_residue_labels_all_documents(spark, monkeypatch):
+    seen = []
+    whole = rs.labelled
+    monkeypatch.setattr(rs, "labelled", lambda docs, n: seen.append(docs.count()) or whole(docs.limit(1), n))
+    rs.train(spark.range(41_000).selectExpr("id AS doc_id", "concat('text ', id) AS text"))
+    assert seen == [41_000]
