@@ -175,11 +175,11 @@ def held_out() -> F.Column:
 
 
 def labelled(docs: DataFrame, sample_segments: int) -> pd.DataFrame:
-    """Distinct labelled segments, at most sample_segments of each label, the most frequent first and the rest by hash."""
+    """Distinct labelled segments, whole as they are scored, at most sample_segments of each label, the most frequent first and the rest by hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(s[:2000], i == 0, weak_label(s)) for t in b["text"] for i, s in enumerate(segments(t))]
+            rows = [(s, i == 0, weak_label(s)) for t in b["text"] for i, s in enumerate(segments(t))]
             yield pd.DataFrame(rows, columns=["segment", "first", "label"]).assign(n=1)
 
     found = docs.select("text").mapInPandas(run, "segment string, first boolean, label int, n long")

@@ -125,3 +125,9 @@ def test_residue_labels_all_documents(spark, monkeypatch):
     monkeypatch.setattr(rs, "labelled", lambda docs, n: seen.append(docs.count()) or whole(docs.limit(1), n))
     rs.train(spark.range(41_000).selectExpr("id AS doc_id", "concat('text ', id) AS text"))
     assert seen == [41_000]
+
+
+def test_residue_keeps_long_segments(spark):
+    long = "".join(f"word{i} " for i in range(500))
+    rows = rs.labelled(spark.createDataFrame([(long + "Dear {{name}}",), (long + "ends here",)], "text string"), 10)
+    assert {(s.strip()[-8:], label) for s, label in zip(rows["segment"], rows["label"])} == {("{{name}}", 1), ("nds here", 0)}
