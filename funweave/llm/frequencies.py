@@ -1,10 +1,9 @@
-"""Frequency of every distinct value or n-gram (problem 5), from a suffix array with common-prefix intervals.
+"""Frequency of every distinct value or n-gram (problem 5), from sorted values.
 
-A record's values in order are its text; a suffix is the next max_n values from a position on. Sorting all suffixes
-by range puts those with a common prefix of n values next to one another: such an interval is an n-gram, its length
-the number of occurrences. Within an interval, suffixes are ordered by record, so that a record's further occurrences
-lie next to its first; the record count is the length less these duplicate adjacencies. The order within an interval
-of n values holds for suffixes cut to n values, so each n has its own sort.
+Values, or n-grams written out as strings, are sorted by range, so that equal ones form a run, its length the number of
+occurrences. Within a run, rows are ordered by record, so that a record's further occurrences lie next to its first; the
+record count is the length less these duplicate adjacencies. No suffixes are ordered together and no common-prefix
+lengths are computed; each n has its own sort.
 
 Partitions yield partial intervals, stitched at their boundaries (see funweave.runs). Null values are none and end no
 n-gram; occurrences without a record count as occurrences only.
@@ -21,14 +20,14 @@ SEP = "\x1f"  # parts the values of an n-gram
 
 
 def value_suffixes(df: DataFrame, fields: tuple[str, ...], record: str, tie: str) -> DataFrame:
-    """Suffixes of length one: field_name, key_text, member (the record), tie."""
+    """The values as rows: field_name, key_text, member (the record), tie."""
     cells = F.array(*(F.struct(F.lit(f).alias("field_name"), norm_id(F.col(f)).alias("key_text")) for f in fields))
     rows = df.select(F.col(record).alias("member"), F.col(tie).alias("tie"), F.explode(cells).alias("c"))
     return rows.select("c.field_name", "c.key_text", "member", "tie").filter("key_text is not null")
 
 
 def array_suffixes(df: DataFrame, values: str, record: str, n: int) -> DataFrame:
-    """Suffixes of exactly n values of an array column, joined; those that reach past its end are no n-grams."""
+    """The runs of exactly n values of an array column, each joined to a string."""
     kept = F.filter(values, lambda x: x.isNotNull())
     grams = F.transform(F.sequence(F.lit(1), F.size(kept) - (n - 1)), lambda i: F.array_join(F.slice(kept, i, n), SEP))
     rows = df.filter(F.size(kept) >= n).select(F.col(record).cast("string").alias("member"), F.posexplode(grams).alias("tie", "key_text"))
