@@ -1,4 +1,4 @@
-"""The whole prediction: seeds, combined graph, diffusion, blend; stages resume from parquet."""
+"""From channels and seeds to the prediction: combined graph, diffusion, blend; stages resume from parquet."""
 
 from __future__ import annotations
 
