@@ -30,6 +30,15 @@ def test_diffusion(spark, method):
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in WANT[method].items()}
 
 
+def test_diffusion_meets_the_tolerance_or_raises(spark):
+    b, none = spark.createDataFrame([("a", "t", 1.0)], S), spark.createDataFrame([], "protein_id string, k double")
+    links = lambda w: spark.createDataFrame([("a", "b", w), ("b", "a", w)], "i string, j string, w double")
+    got = table(di.jacobi(links(0.5), b, none, rounds=4, tolerance=1e-5))
+    assert got == {("a", "t"): pytest.approx(4 / 3, abs=1e-4), ("b", "t"): pytest.approx(2 / 3, abs=1e-4)}
+    with pytest.raises(ArithmeticError):
+        di.jacobi(links(4.0), b, none, rounds=4, tolerance=1e-5)
+
+
 def test_masked_jaccard(spark):
     got = table(di.masked_jaccard(gr.canonical(spark.createDataFrame(EDGES, G))))
     assert got == {("a", "b"): pytest.approx(0.8 * 0.472222222), ("b", "c"): pytest.approx(0.5 * 0.302083333), ("a", "c"): pytest.approx(0.2 * 0.205128205)}
