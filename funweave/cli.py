@@ -16,7 +16,7 @@ def _ontology(spark: SparkSession, path: str):  # noqa: ANN202
 
 
 def diffuse(spark: SparkSession, a: argparse.Namespace) -> None:
-    sk.write_tsv(di.METHODS[a.method](gr.canonical(rd.graph(spark, a.graph)), rd.scores(spark, a.labelling), rounds=a.rounds, tolerance=1e-9), a.output)
+    sk.write_tsv(di.METHODS[a.method](gr.canonical(rd.graph(spark, a.graph)), rd.scores(spark, a.labelling), tolerance=a.tolerance), a.output)
 
 
 def combine(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -63,7 +63,7 @@ def top_predictions(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 COMMANDS = {
-    "diffuse": (diffuse, ["graph", "labelling"], {"method": "laplacian", "rounds": 60}),
+    "diffuse": (diffuse, ["graph", "labelling"], {"method": "laplacian", "tolerance": 1e-9}),
     "combine": (combine, ["collection", "seed", "fasta"], {"selection": "", "threshold": 0.2}),
     "hmmer-seed": (hmmer_seed, ["evalue_file", "obo"], {"threshold": 1e-4}),
     "interpro-seed": (interpro_seed, ["interpro_file", "obo"], {}),

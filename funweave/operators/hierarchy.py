@@ -3,12 +3,16 @@
 A term may have several parents, so the hierarchy is the unfolded forest: one occurrence of a term for each of its
 paths up to a root. The size of a term's unfolded subtree is a property of the term alone; sizes go upward from the
 leaves. Downward, each occurrence hands its children consecutive preorder ranges by the prefix sums of their sizes.
-An occurrence's range [lo, hi) then holds exactly its descendants. Terms that the upward pass never reaches lie on a
-loop or above one; what a downward pass over them leaves lies on or between loops, and is cut into its strongly
+An occurrence's range [lo, hi) then holds exactly its descendants. Terms that the upward pass leaves unprocessed lie on
+a loop or above one; what a downward pass over them leaves lies on or between loops, and is cut into its strongly
 connected parts. Links inside a part are reported and taken out, and the sizes go on.
 
-Rounds are distributed. When the pending links are no more than `tail_links`, counted before, one task ends the pass
-over them in arrays, with the same result: a deep chain then costs no job for each of its levels.
+Rounds are distributed as long as each of them ends at least one in SLOW of the pending links; that takes the bulk of a
+hierarchy, which is broad, in few rounds. What is left then, long thin chains and loops, is ended by one task over
+arrays if it is no more than `tail_links`, counted before, with the same result, and by further rounds if it is more.
+
+Sizes are exact 64-bit numbers that stay at FULL once they reach it; unfolding a hierarchy with so many paths raises
+OverflowError, finding its loops does not.
 
 Nulls, unknown parents and repeated links lead nowhere; a term without parents is a root of depth 0.
 """
@@ -22,6 +26,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from funweave.scratch import cut
 
 TAIL_LINKS = 2_000_000
+SHIPPED_LINKS = 200_000  # links that are sent to every task to unfold the forest, some 30 MB; beyond, each level is a join
+SLOW = 20
+FULL = 1 << 62
 RELATIONS = ("is_a", "part_of")
 
 
@@ -144,13 +151,13 @@ def _trim(links: DataFrame, bound: int, key: str, other: str, least_rounds: int
     return links, n, n == 0
 
 
-def loop_links(links: DataFrame, tail_links: int = TAIL_LINKS) -> DataFrame:
-    """The links that lie on a loop: both ends in one strongly connected part, a term that is its own parent included."""
-    up, n, _ = _trim(links, tail_links, "child", "parent")
-    down, n, _ = _trim(up, tail_links, "parent", "child") if n > tail_links else (up, n, False)
+def loops_of(rest: DataFrame, tail_links: int = TAIL_LINKS) -> DataFrame:
+    """The links on a loop among those that the upward pass left: both ends in one strongly connected part, a term that
+    is its own parent included."""
+    down, n, _ = _trim(rest, tail_links, "parent", "child")
     if n > tail_links:
         return _coloured(down, tail_links)
-    return down.groupBy().applyInPandas(lambda pdf: _loops_task(pdf), "child string, parent string")
+    return cut(down.groupBy().applyInPandas(lambda pdf: _loops_task(pdf), "child string, parent string"), "loops")
 
 
 def _spread(links: DataFrame, colour: DataFrame) -> DataFrame:
@@ -191,45 +198,83 @@ def _coloured(links: DataFrame, tail_links: int) -> DataFrame:
 
 
 def loop_terms(terms: DataFrame, relations: DataFrame, tail_links: int = TAIL_LINKS) -> DataFrame:
-    """go_id of each term that is reached again from itself: what the passes leave unprocessed, cut into its loops."""
-    inside = loop_links(cut(resolved_links(terms, relations), "links"), tail_links)
+    """go_id of each term that is reached again from itself: what the upward pass leaves unprocessed, cut into its loops."""
+    nodes = terms.filter("go_id is not null").select(F.col("go_id").alias("term"))
+    _, rest = subtree_sizes(nodes, cut(resolved_links(terms, relations), "links"), tail_links)
+    inside = loops_of(rest, tail_links)
     return inside.select(F.col("child").alias("go_id")).union(inside.select("parent")).distinct()
 
 
 def _sizes_task(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Subtree sizes of the parents of links that carry the size gathered so far of each end."""
+    """Subtree sizes of the parents of links that carry the size gathered so far of each end; null for what stays unprocessed."""
     ids, child, parent = _codes(pdf["child"], pdf["parent"])
     n = len(ids)
-    size = np.ones(n)
-    size[child] = pdf["child_size"].to_numpy(float)
-    size[parent] = pdf["parent_size"].to_numpy(float)
+    size, rough = np.ones(n, np.int64), np.ones(n)
+    for at, c in ((child, "child_size"), (parent, "parent_size")):
+        size[at], rough[at] = pdf[c].to_numpy(np.int64), pdf[c].to_numpy(float)
     offset, to = _adjacent(child, parent, n)
     missing = np.bincount(parent, minlength=n)
-    front = np.flatnonzero(missing == 0)
+    done, front = np.zeros(n, bool), np.flatnonzero(missing == 0)
     while len(front):
+        done[front] = True
+        # sums of 64-bit numbers may wrap; their doubles tell which have
+        size[front] = np.where(rough[front] >= FULL, FULL, size[front])
+        rough[front] = np.minimum(rough[front], float(FULL))
         reach = np.concatenate([to[offset[v] : offset[v + 1]] for v in front])
-        np.add.at(size, reach, np.repeat(size[front], offset[front + 1] - offset[front]))
+        many = offset[front + 1] - offset[front]
+        np.add.at(size, reach, np.repeat(size[front], many))
+        np.add.at(rough, reach, np.repeat(rough[front], many))
         np.subtract.at(missing, reach, 1)
         reach = np.unique(reach)
         front = reach[missing[reach] == 0]
-    return pd.DataFrame({"term": ids, "size": size.astype("int64")})
-
-
-def subtree_sizes(terms: DataFrame, links: DataFrame, tail_links: int = TAIL_LINKS) -> DataFrame:
-    """term, size: occurrences in the unfolded subtree below and with the term. The links must have no loop."""
-    sizes = cut(terms.select("term").distinct().withColumn("size", F.lit(1).cast("long")), "sizes")
-    pending = links
-    n = pending.count()
-    while n > tail_links:
+    return pd.DataFrame({"term": ids, "size": pd.array(np.where(done, size, 0), "Int64").copy()}).assign(size=lambda d: d["size"].mask(~done))
+
+
+def subtree_sizes(terms: DataFrame, links: DataFrame, tail_links: int = TAIL_LINKS, bulk: bool = True) -> tuple[DataFrame, DataFrame]:
+    """term, size (occurrences in the unfolded subtree below and with the term) of the processed terms, and the links
+    child, parent between the terms that stay unprocessed. Without bulk, no round goes before the one task."""
+    whole = lambda c: F.least(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(FULL)).cast("long")
+    one = F.lit(1).cast("long")
+
+    def waiting(pending: DataFrame, given: DataFrame | None) -> DataFrame:
+        """The links with the size gathered by their child, and whether that waits for a child of its own."""
+        waits = pending.select(F.col("parent").alias("child")).distinct().withColumn("waits", F.lit(True))
+        got = pending.join(waits, "child", "left")
+        if given is None:
+            return cut(got, "pending")
+        more = F.least(F.col("size") + F.coalesce("more", F.lit(0)), F.lit(FULL)).alias("size")
+        return cut(got.join(given, "child", "left").select("child", "parent", more, "waits"), "pending")
+
+    pending = links.select("child", "parent", one.alias("size"))
+    handed = links.select(F.col("parent").alias("term"), one.alias("size")).limit(0)
+    n = links.count()
+    state, busy = None, n > 0 and (bulk or n > tail_links)
+    if busy:
+        state = waiting(pending, None)
+    while busy:
         # links whose child waits for no child of its own hand their size up
-        ready = pending.join(pending.select(F.col("parent").alias("child")).distinct(), "child", "left_anti")
-        given = ready.join(sizes.toDF("child", "size"), "child").groupBy(F.col("parent").alias("term")).agg(F.sum("size").alias("size"))
-        sizes = cut(sizes.union(given).groupBy("term").agg(F.sum("size").alias("size")), "sizes")
-        pending = cut(pending.join(ready, ["child", "parent"], "left_anti"), "pending")
-        n = pending.count()
-    tail = pending.join(sizes.toDF("child", "child_size"), "child").join(sizes.toDF("parent", "parent_size"), "parent")
-    done = tail.groupBy().applyInPandas(lambda pdf: _sizes_task(pdf), "term string, size long")
-    return cut(sizes.join(done, "term", "left_anti").union(done), "sizes")
+        ready, pending = state.filter("waits is null"), state.filter("waits").select("child", "parent", "size")
+        m = pending.count()
+        up = ready.select(F.col("parent").alias("term"), "size")
+        handed = handed.unionByName(up)
+        busy = 0 < m < n and not ((n - m) * SLOW < n and m <= tail_links)
+        stuck, n = m == n, m
+        # a link carries the size of its child as gathered so far
+        state = waiting(pending, up.groupBy(F.col("term").alias("child")).agg(whole("size").alias("more")))
+        if stuck and n > tail_links:  # no round gets on: all that is pending is unprocessed
+            break
+        pending = state.select("child", "parent", "size")
+    sizes = cut(terms.select("term").distinct().withColumn("size", one).unionByName(handed).groupBy("term").agg(whole("size").alias("size")), "sizes")
+    if n == 0:
+        return sizes, links.limit(0)
+    if n > tail_links:
+        open_ = pending.select(F.col("parent").alias("term")).distinct()
+        return cut(sizes.join(open_, "term", "left_anti"), "sizes"), pending.join(open_.toDF("child"), "child", "left_semi").select("child", "parent")
+    tail = pending.withColumnRenamed("size", "child_size").join(sizes.toDF("parent", "parent_size"), "parent")
+    done = cut(tail.groupBy().applyInPandas(lambda pdf: _sizes_task(pdf), "term string, size long"), "tail")
+    left = done.filter("size is null").select("term")
+    rest = pending.join(left.toDF("child"), "child", "left_semi").join(left.toDF("parent"), "parent", "left_semi").select("child", "parent")
+    return cut(sizes.join(done.select("term"), "term", "left_anti").union(done.filter("size is not null")), "sizes"), cut(rest, "unprocessed")
 
 
 def occurrences(terms: DataFrame, relations: DataFrame, tail_links: int = TAIL_LINKS) -> DataFrame:
@@ -242,11 +287,15 @@ def unfold(nodes: DataFrame, links: DataFrame, tail_links: int = TAIL_LINKS) ->
     """root, go_id, lo, hi, depth, path (from the root down): one row per path of a term; links on loops are left out.
 
     The links, with the offset of each child below its parent, are broadcast to the tasks only if they are no more
-    than tail_links; beyond that each level is a join.
+    than SHIPPED_LINKS; beyond that each level is a join.
     """
     links = cut(links, "links")
-    links = cut(links.join(loop_links(links, tail_links), ["child", "parent"], "left_anti"), "acyclic")
-    sizes = subtree_sizes(nodes, links, tail_links)
+    sizes, rest = subtree_sizes(nodes, links, tail_links)
+    if rest.limit(1).count():
+        links = cut(links.join(loops_of(rest, tail_links), ["child", "parent"], "left_anti"), "acyclic")
+        sizes, _ = subtree_sizes(nodes, links, tail_links, False)
+    if (sizes.agg(F.max("size")).collect()[0][0] or 0) >= FULL:
+        raise OverflowError("a term has more paths below it than a 64-bit preorder number can count")
     before = F.sum("size").over(W.partitionBy("parent").orderBy("child").rowsBetween(W.unboundedPreceding, -1))
     steps = cut(
         links.join(sizes.toDF("child", "size"), "child").withColumn("off", (F.lit(1) + F.coalesce(before, F.lit(0))).cast("long")), "steps"
@@ -256,7 +305,7 @@ def unfold(nodes: DataFrame, links: DataFrame, tail_links: int = TAIL_LINKS) ->
         F.col("term").alias("root"), F.col("term").alias("go_id"), F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"),
         F.lit(0).alias("depth"), F.array("term").alias("path"),
     )
-    if steps.count() <= tail_links:
+    if steps.count() <= min(tail_links, SHIPPED_LINKS):
         rows = steps.select("parent", "child", "off", "size").toPandas()
         table = {p: list(zip(g["child"], g["off"], g["size"])) for p, g in rows.groupby("parent", sort=False)}
         shared = nodes.sparkSession.sparkContext.broadcast(table)
@@ -308,3 +357,25 @@ def descendants(occ: DataFrame, block: int = 64) -> DataFrame:
     parts = first.withColumn("block", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))))
     inner = occ.select("root", F.col("go_id").alias("descendant"), F.col("lo").alias("at"), F.expr(f"lo div {block}").alias("block"))
     return parts.join(inner, ["root", "block"]).filter("at > lo and at < hi").select("go_id", "descendant").distinct()
+
+
+def closure(links: DataFrame) -> DataFrame:
+    """child, parent of all pairs of a term and a term above it, over links without loops, by doubling.
+
+    After round r the pairs of all path lengths below 2^r are known, so a chain of n links takes log2(n) rounds; only new
+    pairs are joined again. No path is carried: the work follows the number of pairs, not of paths.
+    """
+    known = new = cut(links.select("child", "parent").distinct(), "closure")
+    while True:
+        over = new.select("child", F.col("parent").alias("m")).join(known.select(F.col("child").alias("m"), "parent"), "m").select("child", "parent")
+        fresh = cut(over.distinct().join(known, ["child", "parent"], "left_anti"), "closure")
+        if not fresh.limit(1).count():
+            return known
+        known, new = known.unionByName(fresh), fresh
+
+
+def acyclic(nodes: DataFrame, links: DataFrame, tail_links: int = TAIL_LINKS) -> DataFrame:
+    """The links that lie on no loop."""
+    links = cut(links, "links")
+    _, rest = subtree_sizes(nodes, links, tail_links, False)
+    return links.join(loops_of(rest, tail_links), ["child", "parent"], "left_anti") if rest.limit(1).count() else links

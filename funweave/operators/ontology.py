@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from funweave.functions.text import norm_id
 from funweave.operators import hierarchy as hi
-from funweave.scratch import cut
 
 
 def resolve(rows: DataFrame, terms: DataFrame, column: str = "term_id") -> DataFrame:
@@ -27,8 +26,7 @@ def same_domain(links: DataFrame, terms: DataFrame) -> DataFrame:
 def ancestors(terms: DataFrame, links: DataFrame) -> DataFrame:
     """term_id, ancestor (without the term itself) over links that lie on no loop."""
     nodes = terms.filter("go_id is not null").select(F.col("go_id").alias("term"))
-    occ = cut(hi.unfold(nodes, links), "occ")
-    return hi.descendants(occ).select(F.col("descendant").alias("term_id"), F.col("go_id").alias("ancestor"))
+    return hi.closure(hi.acyclic(nodes, links)).toDF("term_id", "ancestor")
 
 
 def up_propagate(annotations: DataFrame, closure: DataFrame) -> DataFrame:

@@ -116,8 +116,11 @@ def q_combined(s: SparkSession, d: str) -> DataFrame:
     return rounded(gr.combined(scaled, ["c1", "c2"], gr.seed_coefficients(scaled, seed(s, d), ["c1", "c2"], read(s, d, "proteins"))), "score")
 
 
-def diffused(method: str):  # noqa: ANN201
-    return lambda s, d: rounded(di.METHODS[method](edges(s, d), seed(s, d)), "score")
+def diffused(method: str, rounds: int | None = None):  # noqa: ANN201
+    """Eight rounds, or the solution to four digits."""
+    if rounds:
+        return lambda s, d: rounded(di.METHODS[method](edges(s, d), seed(s, d), rounds=rounds), "score")
+    return lambda s, d: di.METHODS[method](edges(s, d), seed(s, d), tolerance=1e-12).withColumn("score", F.floor(F.col("score") * 10_000 + 0.5) / 10_000)
 
 
 def q_metrics(entity: str | None):  # noqa: ANN201
@@ -136,10 +139,12 @@ def q_curve(s: SparkSession, d: str) -> DataFrame:
     return rounded(c.select("score", "tp", "fp", "fn", "tn", "ru", "mi"), "score").withColumns(two)
 
 
-def q_ndcg(s: SparkSession, d: str) -> DataFrame:
-    key = ["protein_id", "term_id"]
-    rows = prediction(s, d).join(truth(s, d).select(*key, F.lit(1).alias("y")), key, "left").na.fill(0, ["y"])
-    return rounded(ev.ranked_gain(rows.toDF("entity", "item", "score", "y"), 10), "dcg", "ndcg", "p_at_k", "ap_at_k")
+def q_ndcg(k: int | None):  # noqa: ANN201
+    def run(s: SparkSession, d: str) -> DataFrame:
+        got = rounded(ev.ranked_gain(ev.grid_ranks(prediction(s, d), truth(s, d)), k), "dcg", "ndcg", "p_at_k", "ap_at_k")
+        return got if k else got.drop("p_at_k")  # without a cut-off it is the base rate of the grid
+
+    return run
 
 
 def methods(s: SparkSession, d: str) -> DataFrame:
@@ -163,7 +168,7 @@ def q_pivot(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "diffuse_top_n": lambda s, d: rounded(co.top_n(di.laplacian(edges(s, d), seed(s, d)).withColumn("score", r6("score")), 5), "score"),
+    "diffuse_top_n": lambda s, d: co.top_n(diffused("laplacian")(s, d), 5),
     "id_index": lambda s, d: numbered(read(s, d, "proteins"), "protein_id"),
     "top_n_predictions": lambda s, d: co.top_n(prediction(s, d), 10).select("protein_id", "term_id", "rank_no"),
     "ancestor_closure": lambda s, d: closure(s, d, True),
@@ -190,9 +195,12 @@ QUERIES = {
     "combined_graph": q_combined,
     "masked_jaccard": lambda s, d: rounded(di.masked_jaccard(edges(s, d)), "score"),
     "laplacian_edges": lambda s, d: rounded(di.laplacian_edges(edges(s, d)), "score"),
-    "diffuse_s2_k8": diffused("laplacian"),
-    "diffuse_cm_k8": diffused("consistency-method"),
-    "diffuse_lwp_k8": diffused("label-weighted"),
+    "diffuse_s2_k8": diffused("laplacian", 8),
+    "diffuse_s2": diffused("laplacian"),
+    "diffuse_cm_k8": diffused("consistency-method", 8),
+    "diffuse_cm": diffused("consistency-method"),
+    "diffuse_lwp_k8": diffused("label-weighted", 8),
+    "diffuse_lwp": diffused("label-weighted"),
     "blend": lambda s, d: rounded(co.weighted_sum([seed(s, d), prediction(s, d)], [0.9, 0.1]), "score"),
     "combine_seeds": lambda s, d: rounded(co.weighted_sum([seed(s, d), prediction(s, d), truth(s, d)]), "score"),
     "clamp": lambda s, d: co.clamp(seed(s, d), truth(s, d)),
@@ -200,7 +208,8 @@ QUERIES = {
     "metrics_overall": q_metrics(None),
     "metrics_per_gene": q_metrics("protein_id"),
     "metrics_per_term": q_metrics("term_id"),
-    "ndcg_at_10": q_ndcg,
+    "ndcg_at_10": q_ndcg(10),
+    "ndcg_full": q_ndcg(None),
     "eval_masks": lambda s, d: ev.masks(truth(s, d)).select("protein_id", "term_id"),
     "run_summary": lambda s, d: rounded(co.run_summary(prediction(s, d)), "min_score", "median_score", "mean_score", "max_score"),
     "pairwise_delta": lambda s, d: rounded(co.pairwise_delta(seed(s, d), prediction(s, d)), "delta"),
@@ -256,41 +265,52 @@ def _jac(pairs: str) -> str:
 yy AS (SELECT p1, p2, co / (a.n + z.n - co + 1) AS y FROM cc JOIN sz a ON a.protein_id = p1 JOIN sz z ON z.protein_id = p2)"""
 
 
-_COEF = f"""{_SEED}, {_CHAN}, {_jac("ch")},
-f AS (SELECT c1, c2, coalesce(y, 0.0) AS y FROM cn LEFT JOIN yy USING (p1, p2)),
+# the target runs over all pairs of the protein index, pair by pair
+_COEF = f"""{_SEED}, si AS (SELECT * FROM s WHERE protein_id IN (SELECT protein_id FROM proteins)), {_CHAN},
+bin AS (SELECT DISTINCT protein_id, term_id FROM si WHERE score / (SELECT max(score) FROM si) > 0.2),
+sz AS (SELECT protein_id, count(*) AS n FROM bin GROUP BY 1),
+cc AS (SELECT x.protein_id AS p1, y.protein_id AS p2, count(*) AS co FROM bin x JOIN bin y ON y.term_id = x.term_id AND x.protein_id < y.protein_id GROUP BY ALL),
+yy AS (SELECT p1, p2, co / (a.n + z.n - co + 1) AS y FROM cc JOIN sz a ON a.protein_id = p1 JOIN sz z ON z.protein_id = p2),
+f AS (SELECT coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2, coalesce(y, 0.0) AS y FROM cn FULL JOIN yy ON yy.p1 = cn.p1 AND yy.p2 = cn.p2),
 m AS (SELECT sum(c1*c1) AS a, sum(c1*c2) AS b, sum(c1) AS c, sum(c2*c2) AS d, sum(c2) AS e, sum(c1*y) AS u, sum(c2*y) AS v, sum(y) AS w,
-  (SELECT count(*) * (count(*) - 1) / 2 FROM (SELECT p1 FROM ch UNION SELECT p2 FROM ch)) AS f FROM f),
+  (SELECT count(*) * (count(*) - 1) / 2 FROM (SELECT DISTINCT protein_id FROM proteins)) AS f FROM f),
 det AS (SELECT *, a*(d*f-e*e) - b*(b*f-e*c) + c*(b*e-d*c) AS det FROM m),
 k AS (SELECT (u*(d*f-e*e) - b*(v*f-e*w) + c*(v*e-d*w)) / det AS k1, (a*(v*f-e*w) - u*(b*f-e*c) + c*(b*w-v*c)) / det AS k2,
   (a*(d*w-v*e) - b*(b*w-v*c) + u*(b*e-d*c)) / det AS k3 FROM det)"""
 
 
-def _jacobi(base: str, links: str, label: str, diagonal: str) -> str:
-    """Eight rounds of x = (b + S x) / k."""
+def _jacobi(base: str, links: str, label: str, diagonal: str, rounds: int) -> str:
+    """So many rounds of x = (b + S x) / k."""
     out = [f"{base}, lk AS ({links}), b0 AS ({label}), dk AS ({diagonal})", "x0 AS (SELECT protein_id, term_id, score / coalesce(k, 1) AS score FROM b0 LEFT JOIN dk USING (protein_id))"]
-    for n in range(8):
+    for n in range(rounds):
         out.append(f"""x{n + 1} AS (SELECT protein_id, term_id, sum(score) / coalesce(any_value(k), 1) AS score FROM (
   SELECT * FROM b0 UNION ALL SELECT lk.i, term_id, w * score FROM lk JOIN x{n} ON x{n}.protein_id = lk.j) LEFT JOIN dk USING (protein_id) GROUP BY ALL)""".replace(" GROUP BY ALL)", " GROUP BY protein_id, term_id)"))
     return ",\n".join(out)
 
 
-_S2 = _jacobi(f"{_SEED}, {_LAP}", "SELECT i, j, 0.1 * w AS w FROM ls", "SELECT * FROM s", "SELECT i AS protein_id, 1 + 0.1 * sum(w) AS k FROM ls GROUP BY 1")
-_LWP = _jacobi(
+_S2 = (f"{_SEED}, {_LAP}", "SELECT i, j, 0.1 * w AS w FROM ls", "SELECT * FROM s", "SELECT i AS protein_id, 1 + 0.1 * sum(w) AS k FROM ls GROUP BY 1")
+_LWP = (
     f"{_SEED}, {_LAP}, mx AS (SELECT protein_id, max(score) AS m FROM s GROUP BY 1)", "SELECT * FROM ls", "SELECT protein_id, term_id, (m + 0.1) * score AS score FROM s JOIN mx USING (protein_id)",
     "SELECT coalesce(mx.protein_id, q.i) AS protein_id, coalesce(m, 0) + 0.1 + coalesce(d, 0) AS k FROM (SELECT i, sum(w) AS d FROM ls GROUP BY 1) q FULL JOIN mx ON mx.protein_id = q.i",
 )
-_CM = _jacobi(
+_CM = (
     f"{_SEED}, {_EDGES}, dd AS (SELECT i, sum(abs(w)) AS d FROM b GROUP BY 1)", "SELECT b.i, b.j, 0.5 * abs(w) / sqrt(x.d * y.d) AS w FROM b JOIN dd x ON x.i = b.i JOIN dd y ON y.i = b.j",
     "SELECT protein_id, term_id, 0.5 * score AS score FROM s", "SELECT CAST(NULL AS VARCHAR) AS protein_id, 1.0 AS k WHERE false",
 )
-_PAIRS = f"""{_PRED}, {_TRUTH}, icx AS (SELECT term_id, -log2(count(*) / (SELECT count(*) FROM tr)) AS ic FROM tr GROUP BY 1),
-pp AS (SELECT coalesce(pr.protein_id, tr.protein_id) AS protein_id, coalesce(pr.term_id, tr.term_id) AS term_id, coalesce(round_even(score * 10000, 0) / 10000, 0.0) AS score, CASE WHEN tr.term_id IS NULL THEN 0 ELSE 1 END AS y
-  FROM pr FULL JOIN tr ON tr.protein_id = pr.protein_id AND tr.term_id = pr.term_id),
+_K8 = {n: _jacobi(*x, 8) for n, x in (("s2", _S2), ("lwp", _LWP), ("cm", _CM))}
+# rounds after which nothing moves within the digits that are kept
+_FULL = {"s2": _jacobi(*_S2, 40), "lwp": _jacobi(*_LWP, 100), "cm": _jacobi(*_CM, 50)}
+_LAST = {"s2": "x40", "lwp": "x100", "cm": "x50"}
+_R4 = "floor(score * 10000 + 0.5) / 10000"
+_PAIRS = f"""{_PRED}, {_TRUTH}, ns AS (SELECT count(DISTINCT score) AS ns FROM pr), icx AS (SELECT term_id, -log2(count(*) / (SELECT count(*) FROM tr)) AS ic FROM tr GROUP BY 1),
+pp AS (SELECT coalesce(pr.protein_id, tr.protein_id) AS protein_id, coalesce(pr.term_id, tr.term_id) AS term_id, coalesce(CASE WHEN ns > 10000 THEN round_even(score * 10000, 0) / 10000 ELSE score END, 0.0) AS score, CASE WHEN tr.term_id IS NULL THEN 0 ELSE 1 END AS y
+  FROM pr FULL JOIN tr ON tr.protein_id = pr.protein_id AND tr.term_id = pr.term_id CROSS JOIN ns),
 grid AS (SELECT p.protein_id, t.term_id FROM (SELECT DISTINCT protein_id FROM pp) p CROSS JOIN (SELECT DISTINCT term_id FROM pp) t)"""
 
 
 def _cells(entity: str) -> str:
     """The whole grid, built: the plain form that the engine's zero rows are held against."""
+    n0 = "term_id" if entity == "protein_id" else "protein_id"
     return f"""{_PAIRS},
 cl AS (SELECT {entity} AS entity, coalesce(score, 0.0) AS score, count(*) AS n, sum(coalesce(y, 0)) AS pos, sum(coalesce(ic, 0) * coalesce(y, 0)) AS ic_pos, sum(coalesce(ic, 0) * (1 - coalesce(y, 0))) AS ic_neg
   FROM grid LEFT JOIN pp USING (protein_id, term_id) LEFT JOIN icx USING (term_id) GROUP BY 1, 2),
@@ -299,7 +319,7 @@ cv AS (SELECT entity, score, sum(pos) OVER d AS tp, sum(n - pos) OVER d AS fp, s
 ct AS (SELECT *, tp / (tp + fp) AS pc, CASE WHEN p > 0 THEN tp / p END AS rc, CASE WHEN t > p THEN fp / (t - p) END AS fr FROM cv),
 ar AS (SELECT *, (fr - lag(fr) OVER w) * (rc + lag(rc) OVER w) / 2 AS a1, (rc - lag(rc) OVER w) * (pc + lag(pc) OVER w) / 2 AS a2 FROM ct WINDOW w AS (PARTITION BY entity ORDER BY score DESC)),
 mt AS (SELECT entity, sum(a1) AS auc, sum(a2) AS aupr, max(2 * pc * rc / (pc + rc + 2.2250738585072014e-308)) AS f_max, max(tp / (tp + p - tp + fp)) AS jaccard,
-  arg_max(pc, CASE WHEN rc >= 0.2 THEN score END) AS p20, min(sqrt(ru * ru + mi * mi)) AS s_min, max(p) AS p, max(t) AS t, max(k) AS k, (max(p) = 0 OR max(p) = max(t) OR max(k) = 1) AS flat FROM ar GROUP BY 1)"""
+  arg_max(pc, CASE WHEN rc >= 0.2 THEN score END) AS p20, min(sqrt(ru * ru + mi * mi)) / (SELECT count(DISTINCT {n0}) FROM pp) AS s_min, max(p) AS p, max(t) AS t, max(k) AS k, (max(p) = 0 OR max(p) = max(t) OR max(k) = 1) AS flat FROM ar GROUP BY 1)"""
 
 
 def _metrics(entity: str) -> str:
@@ -308,12 +328,24 @@ def _metrics(entity: str) -> str:
     return f"WITH {_cells(entity)} SELECT entity, {', '.join(cols)} FROM mt"
 
 
+def _ndcg(k: int | None) -> str:
+    """The whole grid of proteins and terms, built and ranked."""
+    few = lambda c: f"FILTER ({c} <= {k})" if k else ""
+    return f"""WITH {_PRED}, {_TRUTH}, pp AS (SELECT protein_id, term_id FROM pr UNION SELECT protein_id, term_id FROM tr),
+grid AS (SELECT p.protein_id, t.term_id FROM (SELECT DISTINCT protein_id FROM pp) p CROSS JOIN (SELECT DISTINCT term_id FROM pp) t),
+x AS (SELECT g.protein_id, g.term_id, coalesce(score, 0.0) AS score, CASE WHEN tr.term_id IS NULL THEN 0 ELSE 1 END AS y FROM grid g
+  LEFT JOIN pr ON pr.protein_id = g.protein_id AND pr.term_id = g.term_id LEFT JOIN tr ON tr.protein_id = g.protein_id AND tr.term_id = g.term_id),
+r AS (SELECT *, row_number() OVER o AS rn, row_number() OVER (PARTITION BY protein_id ORDER BY y DESC, term_id DESC) AS bn, sum(y) OVER (PARTITION BY protein_id ORDER BY score DESC, term_id DESC ROWS UNBOUNDED PRECEDING) AS h FROM x WINDOW o AS (PARTITION BY protein_id ORDER BY score DESC, term_id DESC)),
+g AS (SELECT protein_id AS entity, sum((pow(2, y) - 1) / log2(rn + 1)) {few("rn")} AS dcg, sum((pow(2, y) - 1) / log2(bn + 1)) {few("bn")} AS idcg, sum(y) {few("rn")} AS f, coalesce(sum(h / rn) FILTER (y > 0 {f"AND rn <= {k}" if k else ""}), 0) AS ap, sum(y) AS a FROM r GROUP BY 1)
+SELECT entity, {_R.format("dcg")} AS dcg, {_R.format("CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END")} AS ndcg{f", {_R.format(f'f / {k}')} AS p_at_k" if k else ""}, {_R.format(f"CASE WHEN a > 0 THEN ap / {f'least(a, {k})' if k else 'a'} ELSE 0 END")} AS ap_at_k FROM g"""
+
+
 _HITS = """h AS (SELECT query_id AS query, target_id AS target, *, epoch_us(loaded_at) AS row_no FROM foldseek_hit
   WHERE query_id IS NOT NULL AND target_id IS NOT NULL AND evalue IS NOT NULL AND NOT isnan(evalue))"""
 _TOP = "row_number() OVER (PARTITION BY protein_id ORDER BY score DESC, term_id)"
 
 SQL = {
-    "diffuse_top_n": f"WITH {_S2}, q AS (SELECT protein_id, term_id, {_R.format('score')} AS score FROM x8) SELECT *, {_TOP} AS rank_no FROM q QUALIFY rank_no <= 5",
+    "diffuse_top_n": f"WITH {_FULL['s2']}, q AS (SELECT protein_id, term_id, {_R4} AS score FROM {_LAST['s2']}) SELECT *, {_TOP} AS rank_no FROM q QUALIFY rank_no <= 5",
     "id_index": "SELECT protein_id, CAST(row_number() OVER (ORDER BY protein_id) - 1 AS INTEGER) AS idx FROM proteins",
     "top_n_predictions": f"WITH {_PRED} SELECT protein_id, term_id, {_TOP} AS rank_no FROM pr QUALIFY rank_no <= 10",
     "ancestor_closure": f"WITH RECURSIVE {_GOOD} SELECT * FROM upall",
@@ -348,9 +380,8 @@ SELECT p1, p2, {_R.format("CASE WHEN w = 1 THEN 1.0 ELSE w / (SELECT max(w) FROM
     "combined_graph": f"WITH {_COEF} SELECT p1, p2, {_R.format('k1 * c1 + k2 * c2')} AS score FROM cn CROSS JOIN k",
     "masked_jaccard": f"WITH {_MASKED} SELECT p1, p2, {_R.format('score')} AS score FROM jw",
     "laplacian_edges": f"WITH {_LAP} SELECT p1, p2, {_R.format('score')} AS score FROM le",
-    "diffuse_s2_k8": f"WITH {_S2} SELECT protein_id, term_id, {_R.format('score')} AS score FROM x8",
-    "diffuse_cm_k8": f"WITH {_CM} SELECT protein_id, term_id, {_R.format('score')} AS score FROM x8",
-    "diffuse_lwp_k8": f"WITH {_LWP} SELECT protein_id, term_id, {_R.format('score')} AS score FROM x8",
+    **{f"diffuse_{m}_k8": f"WITH {q} SELECT protein_id, term_id, {_R.format('score')} AS score FROM x8" for m, q in _K8.items()},
+    **{f"diffuse_{m}": f"WITH {q} SELECT protein_id, term_id, {_R4} AS score FROM {_LAST[m]}" for m, q in _FULL.items()},
     "blend": f"WITH {_SEED}, {_PRED} SELECT protein_id, term_id, {_R.format('sum(x)')} AS score FROM (SELECT protein_id, term_id, 0.9 * score AS x FROM s UNION ALL SELECT protein_id, term_id, 0.1 * score FROM pr) GROUP BY 1, 2",
     "combine_seeds": f"WITH {_SEED}, {_PRED}, {_TRUTH} SELECT protein_id, term_id, {_R.format('sum(x)')} AS score FROM (SELECT protein_id, term_id, score / 3 AS x FROM s UNION ALL SELECT protein_id, term_id, score / 3 FROM pr UNION ALL SELECT protein_id, term_id, CAST(1 AS DOUBLE) / 3 FROM tr) GROUP BY 1, 2",
     "clamp": f"WITH {_SEED}, {_TRUTH} SELECT protein_id, term_id, max(x) AS score FROM (SELECT protein_id, term_id, score AS x FROM s UNION ALL SELECT protein_id, term_id, 1.0 FROM tr) GROUP BY 1, 2",
@@ -358,10 +389,8 @@ SELECT p1, p2, {_R.format("CASE WHEN w = 1 THEN 1.0 ELSE w / (SELECT max(w) FROM
     "metrics_overall": _metrics("'all'"),
     "metrics_per_gene": _metrics("protein_id"),
     "metrics_per_term": _metrics("term_id"),
-    "ndcg_at_10": f"""WITH {_PRED}, {_TRUTH}, x AS (SELECT pr.protein_id, pr.term_id, score, CASE WHEN tr.term_id IS NULL THEN 0 ELSE 1 END AS y FROM pr LEFT JOIN tr ON tr.protein_id = pr.protein_id AND tr.term_id = pr.term_id),
-r AS (SELECT *, row_number() OVER o AS rn, row_number() OVER (PARTITION BY protein_id ORDER BY y DESC, term_id DESC) AS bn, sum(y) OVER (PARTITION BY protein_id ORDER BY score DESC, term_id DESC ROWS UNBOUNDED PRECEDING) AS h FROM x WINDOW o AS (PARTITION BY protein_id ORDER BY score DESC, term_id DESC)),
-g AS (SELECT protein_id AS entity, sum(y / log2(rn + 1)) FILTER (rn <= 10) AS dcg, sum(y / log2(bn + 1)) FILTER (bn <= 10) AS idcg, sum(y) FILTER (rn <= 10) AS f, count(*) FILTER (rn <= 10) AS k, coalesce(sum(h / rn) FILTER (rn <= 10 AND y > 0), 0) AS ap, sum(y) AS a FROM r GROUP BY 1)
-SELECT entity, {_R.format("dcg")} AS dcg, {_R.format("CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END")} AS ndcg, {_R.format("f / k")} AS p_at_k, {_R.format("CASE WHEN a > 0 THEN ap / least(a, 10) ELSE 0 END")} AS ap_at_k FROM g""",
+    "ndcg_at_10": _ndcg(10),
+    "ndcg_full": _ndcg(None),
     "eval_masks": f"WITH {_TRUTH} SELECT * FROM tr WHERE protein_id IN (SELECT protein_id FROM tr GROUP BY 1 HAVING count(*) >= 4) AND term_id IN (SELECT term_id FROM tr GROUP BY 1 HAVING count(*) BETWEEN 3 AND 300)",
     "run_summary": f"WITH {_PRED} SELECT count(DISTINCT protein_id) AS n_proteins, count(DISTINCT term_id) AS n_terms, count(*) AS n_rows, {_R.format('min(score)')} AS min_score, {_R.format('median(score)')} AS median_score, {_R.format('avg(score)')} AS mean_score, {_R.format('max(score)')} AS max_score FROM pr",
     "pairwise_delta": f"WITH {_SEED}, {_PRED} SELECT coalesce(s.protein_id, pr.protein_id) AS protein_id, coalesce(s.term_id, pr.term_id) AS term_id, coalesce(s.score, 0) AS score_a, coalesce(pr.score, 0) AS score_b, {_R.format('coalesce(pr.score, 0) - coalesce(s.score, 0)')} AS delta FROM s FULL JOIN pr ON pr.protein_id = s.protein_id AND pr.term_id = s.term_id",

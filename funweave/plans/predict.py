@@ -15,7 +15,6 @@ class Settings:
     """Parameters of a run; their values name the stages."""
 
     method: str = "laplacian"
-    rounds: int = 60
     tolerance: float = 1e-9
     tau: float = 0.2
     seed_weights: tuple[float, float] = (0.9, 0.1)
@@ -35,7 +34,7 @@ def predict(
 
     w = stage(spark, folder, "graph", config, graph)
     tied = lambda s: co.clamp(s, truth) if truth is not None else s
-    spread = lambda s: di.METHODS[settings.method](w, tied(s), rounds=settings.rounds, tolerance=settings.tolerance)
+    spread = lambda s: di.METHODS[settings.method](w, tied(s), tolerance=settings.tolerance)
     a = stage(spark, folder, "spread-a", config, lambda: spread(seed_a))
     b = stage(spark, folder, "spread-b", config, lambda: spread(seed_b))
     return co.weighted_sum([tied(a), tied(b)], list(settings.seed_weights))

@@ -54,6 +54,13 @@ SQL["p1_descendants"] = f"""WITH RECURSIVE {_LINKS},
 good AS (SELECT l.* FROM links l LEFT JOIN reach r ON r.child = l.parent AND r.parent = l.child WHERE l.child <> l.parent AND r.child IS NULL),
 up AS (SELECT child, parent FROM good UNION SELECT u.child, g.parent FROM up u JOIN good g ON g.child = u.parent)
 SELECT parent AS go_id, child AS descendant FROM up"""
+_PATHS = f"""WITH RECURSIVE {_LINKS},
+good AS (SELECT l.* FROM links l LEFT JOIN reach r ON r.child = l.parent AND r.parent = l.child WHERE l.child <> l.parent AND r.child IS NULL),
+pth AS (
+  SELECT go_id AS root, go_id, 0 AS depth, go_id AS path FROM goterm WHERE go_id IS NOT NULL AND go_id NOT IN (SELECT child FROM good)
+  UNION ALL SELECT root, g.child, depth + 1, path || '>' || g.child FROM pth JOIN good g ON g.parent = pth.go_id)"""
+SQL["p1_paths"] = f"{_PATHS} SELECT root, go_id, depth, path FROM pth"
+SQL["p1_terms"] = f"{_PATHS} SELECT go_id, count(*) AS n_paths, min(depth) AS min_depth, max(depth) AS max_depth, count(DISTINCT root) AS n_roots FROM pth GROUP BY 1"
 SQL["p3_found"] = f"""
 SELECT field_name, key_text FROM ({SQL["p3_key_stats"]}) WHERE n_rows >= 0.02 * (SELECT count(*) FROM goa)"""
 _GAF_QUOTED = "list_bool_or(list_transform(f, lambda x: starts_with(x, '\"') AND NOT regexp_full_match(x, '\"([^\"]|\"\")*\"')))"
@@ -75,3 +82,30 @@ r AS (
     WHEN file_kind = 'tblout' AND (starts_with(f[5], '-')
       OR NOT list_bool_and(list_transform(f[5:18], lambda x: regexp_full_match(x, '{_NUM}')))) THEN 'invalid' END AS reason FROM c)
 SELECT line_id, reason FROM r WHERE reason IS NOT NULL"""
+
+
+def _pieces(field: str) -> str:
+    """The values of a cell as a list: the longest pieces of quoted spans, escaped characters and other characters that are no separator."""
+    seps, cell = ("|;,", field) if field == "synonyms" else ("|;,\\s", field)
+    if field == "synonyms":  # a comma between digits is hidden behind a character of its own
+        for _ in range(2):
+            cell = f"regexp_replace({cell}, '([0-9]),([0-9])', '\\1' || chr(57346) || '\\2', 'g')"
+    found = f"""regexp_extract_all({cell}, '(?:"(?:[^"]|"")*"|\\\\[\\s\\S]|[^{seps}])+')"""
+    whole = f"list_transform({found}, lambda x: trim(x, {_BL}))"
+    clean = f"""CASE WHEN regexp_full_match(x, '"(?:[^"]|"")*"') THEN trim(replace(substring(x, 2, length(x) - 2), '""', '"'), {_BL})
+      ELSE regexp_replace(x, '\\\\([\\s\\S])', '\\1', 'g') END"""
+    return f"list_filter(list_transform({whole}, lambda x: replace({clean}, chr(57346), ',')), lambda x: x <> '')"
+
+
+SQL["p2_found"] = f"""
+WITH v AS (""" + " UNION ALL ".join(f"SELECT goa_id, '{f}' AS field_name, {_pieces(f)} AS items FROM goa" for f in mv.FIELDS) + """)
+SELECT goa_id, field_name, CAST(unnest(range(1, len(items) + 1)) AS INTEGER) AS pos, unnest(items) AS item FROM v WHERE len(items) >= 2"""
+_CONTENT = SQL["p7_found"][: SQL["p7_found"].rindex("SELECT line_id, reason")].replace("SELECT line_id, CASE", "SELECT line_id, file_kind, body, f, CASE")
+_UNQUOTED = "CASE WHEN starts_with(f[{0}], '\"') THEN replace(substring(f[{0}], 2, length(f[{0}]) - 2), '\"\"', '\"') ELSE f[{0}] END"
+SQL["p7_gaf_rows"] = f"""{_CONTENT} SELECT line_id, {", ".join(
+    (f"CAST(strptime(f[{i}], '%Y%m%d') AS DATE)" if c == "annot_date" else _UNQUOTED.format(i)) + f" AS {c}" for i, c in enumerate(sl.GAF_COLUMNS, 1)
+)} FROM r WHERE reason IS NULL AND file_kind = 'gaf'"""
+SQL["p7_tblout_rows"] = f"""{_CONTENT} SELECT line_id, {", ".join(
+    (f"CAST(f[{i}] AS DOUBLE)" if 5 <= i <= 18 else f"regexp_extract(trim(body, {_BL}), '^(?:[^ \\t]+[ \\t]+){{{{18}}}}(.*)$', 1)".replace("{{", "{").replace("}}", "}") if i == 19 else f"f[{i}]") + f" AS {c}"
+    for i, c in enumerate(sl.TBLOUT_COLUMNS, 1)
+)} FROM r WHERE reason IS NULL AND file_kind = 'tblout'"""

@@ -48,6 +48,23 @@ def test_loops_and_descendants(spark, tail):
     assert {r.go_id for r in occ.collect()} == {f"GO:{i:07d}" for i in range(n)}
 
 
+def test_sizes_are_exact_until_they_are_full(spark):
+    """A ladder of diamonds has 2^n paths: 56 are counted exactly, 70 raise on unfolding but still show their loops."""
+    def ladder(n):
+        return [p for k in range(n) for p in ((3 * k + 1, 3 * k), (3 * k + 2, 3 * k), (3 * k + 3, 3 * k + 1), (3 * k + 3, 3 * k + 2))]
+
+    terms, rels = graph(spark, 169, set(ladder(56)))
+    nodes, links = terms.selectExpr("go_id AS term"), hi.resolved_links(terms, rels)
+    for bulk in (True, False):
+        sizes, rest = hi.subtree_sizes(nodes, links, bulk=bulk)
+        assert sizes.filter("term = 'GO:0000000'").collect()[0]["size"] == 4 * 2**56 - 3 and rest.count() == 0
+    terms, rels = graph(spark, 212, set(ladder(70)) | {(211, 211)})
+    with pytest.raises(OverflowError):
+        hi.occurrences(terms, rels)
+    assert {r.go_id for r in hi.loop_terms(terms, rels).collect()} == {"GO:0000211"}
+    assert hi.closure(hi.acyclic(terms.selectExpr("go_id AS term"), hi.resolved_links(terms, rels))).count() == sum(len(x) for x in brute_reach(212, set(ladder(70))).values())
+
+
 def test_alternate_ids_and_empty(spark):
     terms, rels = graph(spark, 2, set())
     extra = spark.createDataFrame([("GO:0000000", "is_a", "go:9000001"), ("GO:0000001", "part_of", "GO:9000000 {x=\"y\"}")], RELS)

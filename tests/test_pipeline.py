@@ -26,17 +26,21 @@ WANT = {
 @pytest.mark.parametrize("method", list(WANT))
 def test_diffusion(spark, method):
     edges = gr.canonical(spark.createDataFrame(EDGES, G))
-    got = table(di.METHODS[method](edges, spark.createDataFrame(LABELS, S), rounds=200, tolerance=1e-11))
+    got = table(di.METHODS[method](edges, spark.createDataFrame(LABELS, S), tolerance=1e-11))
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in WANT[method].items()}
 
 
-def test_diffusion_meets_the_tolerance_or_raises(spark):
+def test_diffusion_converges_or_is_solved_directly(spark, monkeypatch):
     b, none = spark.createDataFrame([("a", "t", 1.0)], S), spark.createDataFrame([], "protein_id string, k double")
     links = lambda w: spark.createDataFrame([("a", "b", w), ("b", "a", w)], "i string, j string, w double")
-    got = table(di.jacobi(links(0.5), b, none, rounds=4, tolerance=1e-5))
-    assert got == {("a", "t"): pytest.approx(4 / 3, abs=1e-4), ("b", "t"): pytest.approx(2 / 3, abs=1e-4)}
+    got = table(di.propagate(links(0.5), b, none, tolerance=1e-8))
+    assert got == {("a", "t"): pytest.approx(4 / 3, abs=1e-7), ("b", "t"): pytest.approx(2 / 3, abs=1e-7)}
+    assert di.radius(links(0.5)) == pytest.approx(0.5)
+    # rounds diverge, elimination does not
+    assert table(di.propagate(links(4.0), b, none)) == {("a", "t"): pytest.approx(-1 / 15), ("b", "t"): pytest.approx(-4 / 15)}
+    monkeypatch.setattr(di.direct, "__defaults__", (1,))
     with pytest.raises(ArithmeticError):
-        di.jacobi(links(4.0), b, none, rounds=4, tolerance=1e-5)
+        di.propagate(links(4.0), b, none)
 
 
 def test_masked_jaccard(spark):
@@ -148,17 +152,29 @@ def test_metrics(spark):
     ic = spark.createDataFrame([(f"t{i}", float(x)) for i, x in enumerate([1, 2, 3, 1, 2, 1])], "term_id string, ic double")
     for rows in (pred, pred[:4] + [("p", "t4", 0.0)]):
         df = spark.createDataFrame(rows, S)
-        m = ev.metrics(ev.curve(ev.cells(df, truth, ic)), 6).collect()[0]
+        m = ev.metrics(ev.curve(ev.cells(df, truth, ic, "protein_id"))).collect()[0]
         assert [m.auc, m.aupr, m.f_max, m.jaccard, m.p_at_20, m.s_min] == [pytest.approx(x, abs=1e-6) for x in (2 / 3, 4 / 9, 2 / 3, 0.5, 1.0, 0.372678)]
 
 
 def test_ranked_gain_properties(spark):
     rows = [("perfect", f"i{k}", 1.0 - k / 10, int(k < 2)) for k in range(5)] + [("worst", f"i{k}", k / 10, int(k < 2)) for k in range(5)] + [("none", "i", 0.5, 0)]
-    got = {r.entity: r for r in ev.ranked_gain(spark.createDataFrame(rows, "entity string, item string, score double, y int"), 3).collect()}
+    got = {r.entity: r for r in ev.ranked_gain(ev.listed_ranks(spark.createDataFrame(rows, "entity string, item string, score double, y int")), 3).collect()}
     assert got["perfect"].ndcg == 1.0 and got["perfect"].ap_at_k == 1.0 and got["worst"].ndcg < 1 and got["none"].ndcg == 0.0
     assert got["perfect"].p_at_k == pytest.approx(2 / 3)
 
 
+def test_grid_ranks_and_rounding(spark):
+    pred = spark.createDataFrame([("p", "t1", 0.9), ("p", "t4", 0.2), ("q", "t1", 0.12344)], S)
+    truth = spark.createDataFrame([("p", "t2"), ("p", "t4"), ("q", "t3")], "protein_id string, term_id string")
+    got = {(r.entity, r.item): (r.rn, r.best) for r in ev.grid_ranks(pred, truth).filter("y = 1").collect()}
+    # p: t1 t4 | t3 t2; q: t1 | t4 t3 t2
+    assert got == {("p", "t4"): (2, 1), ("p", "t2"): (4, 2), ("q", "t3"): (3, 1)}
+    assert {r.score for r in ev.reduced(pred, 3).collect()} == {0.9, 0.2, 0.12344}
+    assert {r.score for r in ev.reduced(pred, 2).collect()} == {0.9, 0.2, 0.1234}
+    m = ev.metrics(ev.curve(ev.cells(pred, truth, truth.select("term_id").distinct().selectExpr("term_id", "1.0D AS ic"))))
+    assert {r.method for r in ev.labelled(ev.flattened({"I": m, "H": m}), {"I": "domains"}).collect()} == {"domains", "H"}
+
+
 def test_best_hits(spark):
     h = "query string, target string, evalue double, row_no long, pident double"
     f = spark.createDataFrame([("x", "A", 1e-30, 1, 90.0), ("x", "B", 1e-10, 2, 50.0), ("y", "B", 1e-5, 3, 50.0), ("y", "C", 1e-5, 4, 40.0)], h)
