@@ -1,12 +1,13 @@
-"""Filling fixed-capacity containers (problem 9): harmonic packing.
+"""Filling fixed-capacity containers (problem 9): harmonic packing, topped up between classes.
 
 Lengths are parted into reciprocal-capacity classes: class k holds the lengths in (C/(k+1), C/k], k of which fill a
-container. Every class is cut into its lengths, so that a container is a pattern: a fixed number of items of each of a
-few lengths. `mixed` patterns (the default) start a container with as many items of the greatest length as go in and
-top it up with smaller ones; `pure` ones hold k items of class k alone. The patterns follow from the histogram of
-lengths, which has at most C + 1 rows whatever the input, and each pattern from its class counts alone. Items are then
-numbered within their length, bucket by bucket, and every worker finds the container of an item from its number, by
-arithmetic.
+container. The bins of a class take k documents of the class each, its longest first, whatever the other classes hold.
+That leaves up to 1/(k+1) of a bin free; the top-up then gives this room to items of the classes after it, the longest
+that fit first. Bins that hold the same lengths form a pattern, and patterns follow from the histogram of lengths alone,
+which has at most C + 1 rows whatever the input. Items are numbered within their length, bucket by bucket, and every
+worker finds the container of an item from its number, by arithmetic, without looking at another.
+
+Without the top-up (`top_up=False`) the classes stand alone; `fill` of both is what the top-up is worth.
 
 An item longer than the capacity is split into full containers and a last piece; null and empty texts have length 0
 and take part as items of length 0, at most C of them to a container.
@@ -21,60 +22,54 @@ from funweave.scratch import cut
 CAPACITY = 2048
 
 
-def patterns(counts: dict[int, int], capacity: int, mixed: bool = True) -> list[tuple[int, int, dict[int, int]]]:
+def slots(length: int, capacity: int) -> int:
+    """The class of a length: how many of it a container takes."""
+    return capacity // length if length else capacity
+
+
+def patterns(counts: dict[int, int], capacity: int, top_up: bool = True) -> list[tuple[int, int, dict[int, int]]]:
     """(first container, containers, items of each length) of each pattern; all items are used up."""
     left = {n: c for n, c in counts.items() if c > 0}
+    lengths = sorted(left, reverse=True)
     out, first = [], 0
-    slots = lambda n: capacity // n if n else capacity
-    if not mixed:
-        for k in sorted({slots(n) for n in left}):
-            members = [n for n in sorted(left, reverse=True) if slots(n) == k]
-            while any(left.get(n) for n in members):
-                room, take = k, {}
-                for n in members:
-                    if left[n] and room:
-                        take[n] = min(left[n], room)
-                        room -= take[n]
-                times = 1 if room or len(take) > 1 else left[members[[bool(left[n]) for n in members].index(True)]] // k
-                for n, c in take.items():
-                    left[n] -= c * times
-                out.append((first, times, take))
-                first += times
-        return out
-    sizes = sorted(left, reverse=True)
-    while sizes:
-        room, take, zero = capacity, {}, capacity
-        for n in sizes:
-            if n > room:
-                continue
-            c = min(left[n], room // n if n else zero)
-            if c:
-                take[n] = c
-                room -= c * n
-            if not room and n:
-                break
-        times = min(left[n] // c for n, c in take.items())
-        for n, c in take.items():
-            left[n] -= c * times
-        sizes = [n for n in sizes if left[n]]
-        out.append((first, times, take))
-        first += times
+    for k in sorted({slots(n, capacity) for n in left}):
+        own = [n for n in lengths if slots(n, capacity) == k]
+        later = [n for n in lengths if slots(n, capacity) > k]
+        while any(left[n] for n in own):
+            room, take = k, {}
+            for n in own:
+                if left[n] and room:
+                    take[n] = min(left[n], room)
+                    room -= take[n]
+            if top_up:
+                free = capacity - sum(n * c for n, c in take.items())
+                for n in later:
+                    c = min(left[n], free // n if n else capacity) if n <= free else 0
+                    if c:
+                        take[n] = c
+                        free -= c * n
+            times = min(left[n] // c for n, c in take.items())
+            for n, c in take.items():
+                left[n] -= c * times
+            out.append((first, times, take))
+            first += times
     return out
 
 
-def pack(items: DataFrame, item: str, length: str, capacity: int = CAPACITY, mixed: bool = True, bucket_rows: int = 50_000) -> DataFrame:
+def pack(items: DataFrame, item: str, length: str, capacity: int = CAPACITY, top_up: bool = True, buckets: int | None = None) -> DataFrame:
     """item, piece_no, piece_len, container of each piece of each item; container numbers run from 0 without gaps."""
     n = F.coalesce(F.col(length).cast("long"), F.lit(0))
     pieces = F.when(n <= capacity, F.array(n)).otherwise(
         F.filter(F.concat(F.array_repeat(F.lit(capacity).cast("long"), (n / capacity).cast("int")), F.array(n % capacity)), lambda x: x > 0)
     )
     rows = cut(items.select(item, F.posexplode(pieces).alias("piece_no", "piece_len")), "pieces")
-    buckets = max(1, rows.count() // bucket_rows)
+    # as many parts of a length as there are shuffle partitions: a length that most items have is numbered by all workers
+    buckets = buckets or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(item, "piece_no"), F.lit(buckets)))
     table = cut(rows.groupBy("piece_len", "bucket").agg(F.count("*").alias("c")), "histogram")
     counts = {r[0]: r[1] for r in table.groupBy("piece_len").agg(F.sum("c")).collect()}  # at most capacity + 1 rows
     plan, used = [], dict.fromkeys(counts, 0)
-    for first, times, take in patterns(counts, capacity, mixed):
+    for first, times, take in patterns(counts, capacity, top_up):
         for size, c in take.items():
             plan.append((size, used[size], used[size] + c * times, c, first))
             used[size] += c * times
@@ -97,3 +92,10 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return per.agg(
         F.count("*").alias("containers"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * capacity)).alias("fill"), F.max("used").alias("fullest")
     )
+
+
+def fills(items: DataFrame, item: str, length: str, capacity: int = CAPACITY) -> DataFrame:
+    """fill of the classes alone and of the bins topped up."""
+    items = cut(items.select(item, length), "lengths")
+    one = lambda t: fill(pack(items, item, length, capacity, t), capacity).select(F.lit("topped up" if t else "classes").alias("form"), "*")
+    return one(False).unionByName(one(True))

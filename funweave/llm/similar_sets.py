@@ -1,19 +1,23 @@
 """All similar pairs between set-valued records (problem 6): multi-index binary sketches.
 
-Equal sets are taken together first. Each distinct set gets one bit of each of many minhashes; a bit of two sets with
-similarity J agrees with probability (1 + J) / 2. The bits are packed into one code for the Hamming test and into
-segments. Sets meet if they agree on all bits of at least one segment, and stay if the codes differ in no more bits
-than a radius; number of segments and radius are calculated so that a pair at the threshold is missed with a
-probability of at most `miss`. What stays is verified on the original sets.
+Records with equal sets form a class, known by its exact terms. Each class gets one bit of each of many minhashes; a bit
+of two sets with similarity J agrees with probability (1 + J) / 2. The bits are packed into one code of disjoint
+segments. Classes meet if they agree on all bits of at least one segment, and stay if their codes differ in no more bits
+than a Hamming radius, first on the head of the code, which travels with the segments, then on all of it. Number of
+segments and both radii are calibrated so that a pair at the threshold is missed with a probability of at most `miss`.
+What stays is verified on the original sets.
 
 A strict pigeonhole split (one more segment than the radius has bits) would leave segments of under eight bits at a
-threshold of 0.75, and so nearly all pairs; here the segments grow with the logarithm of the number of sets, and their
+threshold of 0.75, and so nearly all pairs; here the segments grow with the logarithm of the number of classes, and their
 number follows from the recall wanted.
+
+A segment value that many classes share is parted into chunks, and every two chunks meet in a task of their own.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,103 +26,166 @@ from pyspark.sql import DataFrame, functions as F
 from funweave.functions.text import norm_id
 from funweave.scratch import cut
 
-CODE_BITS = 128
-_PRIME_MIX = 0x9E3779B97F4A7C15
+HEAD = 64  # bits of the code that travel with the segments
+CHUNK = 2_000  # classes of one segment value, or records of one class, that meet in a task
+ELEMENTS = 8_192  # set elements that are hashed at once
+MISS = 1e-6
 
 
-def plan(n_sets: int, threshold: float, miss: float) -> tuple[int, int, int]:
-    """Bits of a segment, number of segments, Hamming radius of the code."""
-    bits = min(30, max(8, math.ceil(math.log2(max(2, n_sets)))))
-    same = (1 + threshold) / 2
-    segments = math.ceil(math.log(miss / 2) / math.log1p(-(same**bits)))
-    tail, radius = 0.0, CODE_BITS
-    while radius > 0:  # the least radius that a pair at the threshold exceeds with at most miss / 2
-        tail += math.comb(CODE_BITS, radius) * (1 - same) ** radius * same ** (CODE_BITS - radius)
-        if tail > miss / 2:
+def _radius(bits: int, same: float, miss: float) -> int:
+    """The least number of differing bits that a pair at the threshold exceeds with a probability of at most miss."""
+    tail, radius = 0.0, bits
+    while radius > 0:
+        tail += math.exp(math.lgamma(bits + 1) - math.lgamma(radius + 1) - math.lgamma(bits - radius + 1) + radius * math.log(1 - same) + (bits - radius) * math.log(same))
+        if tail > miss:
             break
         radius -= 1
-    return bits, segments, radius
+    return radius
+
+
+def plan(n_sets: int, threshold: float, miss: float) -> tuple[int, int, int, int]:
+    """Bits of a segment, number of segments, Hamming radius of the head and of the whole code."""
+    bits = min(30, max(8, math.ceil(math.log2(max(2, n_sets))) - 1))
+    same = min((1 + threshold) / 2, 1 - 1e-9)
+    segments = max(math.ceil(math.log(miss / 3) / math.log1p(-(same**bits))), math.ceil(HEAD / bits))
+    return bits, segments, _radius(HEAD, same, miss / 3), _radius(bits * segments, same, miss / 3)
 
 
 def _minima(values: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The least hash of each set under each seed."""
+    """The least hash of each set under each seed, in 32 bits."""
     x = values[:, None] ^ seeds[None, :]
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(32)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
     return np.minimum.reduceat(x, offsets, axis=0)
 
 
+def _bits(values: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """One bit of each minhash of each set; a set of any size is hashed in pieces of at most ELEMENTS elements."""
+    ends = np.cumsum(sizes)
+    out, at = np.empty((len(sizes), len(seeds)), bool), 0
+    while at < len(sizes):
+        start = ends[at] - sizes[at]
+        to = max(at + 1, int(np.searchsorted(ends, start + ELEMENTS, "right")))
+        offsets = ends[at:to] - sizes[at:to] - start
+        for i in range(0, len(seeds), 256):
+            part = seeds[i : i + 256]
+            if to == at + 1 and sizes[at] > ELEMENTS:
+                least = np.full((1, len(part)), np.uint32(0xFFFFFFFF))
+                for k in range(start, ends[at], ELEMENTS):
+                    least = np.minimum(least, _minima(values[k : min(k + ELEMENTS, ends[at])], np.zeros(1, int), part))
+            else:
+                least = _minima(values[start : ends[to - 1]], offsets, part)
+            out[at:to, i : i + 256] = least & np.uint32(1)
+        at = to
+    return out
+
+
 def sketches(bits: int, segments: int):  # noqa: ANN201
-    """A function for mapInArrow: set_id, hashes -> set_id, code (two longs), keys (one long per segment)."""
+    """A function for mapInArrow: set_id, size, hashes -> set_id, size, head (a long), code (all bits), keys (a long for each segment)."""
 
-    def run(batches):  # noqa: ANN001, ANN202
-        rng = np.random.default_rng(7)
-        seeds = rng.integers(1, 2**63, CODE_BITS + bits * segments, dtype=np.uint64)
-        weights = (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = np.random.default_rng(7).integers(1, 2**32, bits * segments, dtype=np.uint32)
+        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 lists = b.column("hashes")
-                values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                sizes = np.diff(lists.offsets.to_numpy())
-                offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                low = np.concatenate([_minima(values, offsets, seeds[i : i + 256]) & np.uint64(1) for i in range(0, len(seeds), 256)], axis=1)
-                code = np.packbits(low[:, :CODE_BITS].astype(np.uint8), axis=1).view(">i8").astype("int64")
-                keys = (low[:, CODE_BITS:].reshape(len(sizes), segments, bits) * weights).sum(axis=2)
-                keys = keys.astype("int64") + (np.arange(segments, dtype="int64") << 32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("set_id"), pa.array(code[:, 0]), pa.array(code[:, 1]), b.column("size"),
-                     pa.ListArray.from_arrays(np.arange(0, len(sizes) * segments + 1, segments, dtype="int32"), keys.ravel())],
-                    names=["set_id", "c0", "c1", "size", "keys"],
-                )
+                values = (lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                one = _bits(values, np.diff(lists.offsets.to_numpy()), seeds)
+                head = np.packbits(one[:, :HEAD], axis=1).view(">i8").astype("int64")[:, 0]
+                keys = one.reshape(len(one), segments, bits) @ weights + (np.arange(segments, dtype=np.int64) << 32)
+                code = np.packbits(one, axis=1)
+                code = np.pad(code, ((0, 0), (0, -code.shape[1] % 8))).view(">i8").astype("int64")
+                lists_of = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype="int32"), m.ravel())
+                yield pa.RecordBatch.from_arrays([b.column("set_id"), b.column("size"), pa.array(head), lists_of(code), lists_of(keys)], names=["set_id", "size", "head", "code", "keys"])
 
     return run
 
 
-def record_sets(df: DataFrame, record: str, value: str, least: int) -> DataFrame:
-    """record, set_id, terms (sorted, distinct) of the records with at least `least` values; null records and values do not count."""
+def classes_of(df: DataFrame, record: str, value: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """record, set_id of the records with at least `least` distinct values, and set_id, rep (the least record), n, terms of
+    each class of equal sets. Null records and values do not count. Classes are grouped by the terms themselves."""
     rows = df.select(F.col(record).alias("record"), norm_id(F.col(value)).alias("v")).filter("record is not null and v is not null")
-    sets = rows.groupBy("record").agg(F.array_sort(F.collect_set("v")).alias("terms")).filter(F.size("terms") >= least)
-    return sets.select("record", F.xxhash64("terms").alias("set_id"), "terms")
-
-
-def similar_sets(sets: DataFrame, threshold: float, miss: float = 1e-7) -> DataFrame:
-    """a, b (set_id, a < b) of the distinct sets whose similarity is at least the threshold."""
-    groups = cut(sets.groupBy("set_id").agg(F.first("terms").alias("terms")), "sets")
-    bits, segments, radius = plan(groups.count(), threshold, miss)
-    width = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
-    coded = groups.select("set_id", F.size("terms").alias("size"), F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes")).repartition(width, "set_id")
-    coded = cut(coded.mapInArrow(sketches(bits, segments), "set_id long, c0 long, c1 long, size int, keys array<long>"), "codes")
-    rows = coded.select("set_id", "c0", "c1", "size", F.explode("keys").alias("k"))
-    x, y = (rows.select(F.col("set_id").alias(n), *(F.col(c).alias(c + n) for c in ("c0", "c1", "size")), "k") for n in "ab")
-    near = F.bit_count(F.col("c0a").bitwiseXOR(F.col("c0b"))) + F.bit_count(F.col("c1a").bitwiseXOR(F.col("c1b"))) <= radius
-    sized = (F.least("sizea", "sizeb") >= F.lit(threshold) * F.greatest("sizea", "sizeb"))
-    met = x.join(y.hint("shuffle_hash"), "k").filter((F.col("a") < F.col("b")) & sized & near).select("a", "b").distinct()
-    t = groups.select("set_id", "terms")
-    both = met.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b")
+    sets = cut(rows.groupBy("record").agg(F.array_sort(F.collect_set("v")).alias("terms")).filter(F.size("terms") >= least), "records")
+    found = sets.groupBy("terms").agg(F.min("record").alias("rep"), F.count("*").alias("n"))
+    classes = cut(found.select(F.monotonically_increasing_id().alias("set_id"), "rep", "n", "terms"), "classes")  # the number is given once, in the written table
+    return sets.join(classes.select("terms", "set_id"), "terms").select("record", "set_id"), classes
+
+
+def _meetings(rows: DataFrame, key: str, chunk: int) -> DataFrame:
+    """rows with key, at, side: every two rows of one key meet once as side 0 and side 1 under one (key, at); keys with
+    more than chunk rows are parted, so that no meeting has more than about chunk rows a side."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("m")).filter("m > 1")
+    parts = sizes.withColumn("parts", F.ceil(F.col("m") / chunk).cast("int")).drop("m")
+    marked = rows.join(parts, key).withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    few = marked.select(*rows.columns, "own", "parts", other)
+    return few.withColumn("at", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
+
+
+def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS, chunk: int = CHUNK) -> DataFrame:
+    """a, b (set_id, a < b) of the classes whose similarity is at least the threshold."""
+    bits, segments, near, far = plan(classes.count(), threshold, miss)
+    width = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
+    coded = classes.select("set_id", F.size("terms").alias("size"), F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes")).repartition(width, "set_id")
+    coded = cut(coded.mapInArrow(sketches(bits, segments), "set_id long, size int, head long, code array<long>, keys array<long>"), "codes")
+    rows = coded.select("set_id", "head", "size", F.explode("keys").alias("k"))
+    met = cut(_meetings(rows, "k", chunk).select("set_id", "head", "size", "k", "at", "own", "other"), "segments")
+    x, y = (met.select("k", "at", *(F.col(c).alias(c + n) for c in ("set_id", "head", "size", "own", "other"))) for n in "ab")
+    sized = F.least("sizea", "sizeb") >= F.lit(threshold) * F.greatest("sizea", "sizeb")
+    head = F.bit_count(F.col("heada").bitwiseXOR(F.col("headb"))) <= near
+    # two rows of one chunk meet in its own task alone, two of different chunks in theirs
+    once = (F.col("owna") == F.col("otherb")) & (F.col("ownb") == F.col("othera"))
+    pairs = x.join(y, ["k", "at"]).filter((F.col("set_ida") < F.col("set_idb")) & once & sized & head)
+    pairs = pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")).distinct()
+    t = coded.select("set_id", "code").join(classes.select("set_id", "terms"), "set_id")
+    both = pairs.join(t.toDF("a", "ca", "ta"), "a").join(t.toDF("b", "cb", "tb"), "b")
+    differ = F.aggregate(F.zip_with("ca", "cb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(common >= F.lit(threshold) * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    return both.filter(differ <= far).filter(common >= F.lit(threshold) * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+
+
+def _within(of: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """ra, rb: the pairs of records of one class, met chunk by chunk."""
+    met = cut(_meetings(of.select("record", F.xxhash64("record").alias("set_id"), F.col("set_id").alias("k")), "k", chunk).select("record", "k", "at", "own", "other"), "equal")
+    x, y = (met.select("k", "at", *(F.col(c).alias(c + n) for c in ("record", "own", "other"))) for n in "ab")
+    once = (F.col("owna") == F.col("otherb")) & (F.col("ownb") == F.col("othera"))
+    return x.join(y, ["k", "at"]).filter(once & (F.col("recorda") < F.col("recordb"))).select(F.col("recorda").alias("ra"), F.col("recordb").alias("rb"))
+
+
+def similar_pairs(df: DataFrame, record: str, value: str, threshold: float = 0.75, least: int = 4, miss: float = MISS, chunk: int = CHUNK) -> DataFrame:
+    """protein_a, protein_b (a < b): all pairs of records whose sets are similar, those with equal sets included.
+
+    The output grows with the square of a class of equal records; class_pairs and members hold the same links without it.
+    """
+    of, classes = classes_of(df, record, value, least)
+    of = cut(of, "members")
+    pairs = similar_classes(classes, threshold, miss, chunk)
+    across = pairs.join(of.toDF("ra", "a"), "a").join(of.toDF("rb", "b"), "b").select("ra", "rb")
+    return across.union(_within(of, chunk)).select(F.least("ra", "rb").alias("protein_a"), F.greatest("ra", "rb").alias("protein_b"))
+
+
+def members(df: DataFrame, record: str, value: str, least: int = 4) -> DataFrame:
+    """record, rep: the representative (least record) of the class of records with the same set."""
+    of, classes = classes_of(df, record, value, least)
+    return of.join(classes.select("set_id", "rep"), "set_id").select("record", "rep")
 
 
-def similar_pairs(df: DataFrame, record: str, value: str, threshold: float = 0.75, least: int = 4, miss: float = 1e-7) -> DataFrame:
-    """protein_a, protein_b (a < b): all pairs of records whose sets are similar, those with equal sets included."""
-    sets = cut(record_sets(df, record, value, least), "records")
-    of = sets.select("set_id", "record")
-    pairs = similar_sets(sets.select("set_id", "terms"), threshold, miss)
-    across = pairs.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").select("ra", "rb")
-    equal = of.toDF("set_id", "ra").join(of.toDF("set_id", "rb"), "set_id").filter("ra < rb").select("ra", "rb")
-    return across.union(equal).select(F.least("ra", "rb").alias("protein_a"), F.greatest("ra", "rb").alias("protein_b"))
+def class_pairs(df: DataFrame, record: str, value: str, threshold: float = 0.75, least: int = 4, miss: float = MISS) -> DataFrame:
+    """rep_a < rep_b: the representatives of similar classes."""
+    _, classes = classes_of(df, record, value, least)
+    rep = classes.select("set_id", "rep")
+    named = similar_classes(classes, threshold, miss).join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b")
+    return named.select(F.least("ra", "rb").alias("rep_a"), F.greatest("ra", "rb").alias("rep_b"))
 
 
-def similar_links(df: DataFrame, record: str, value: str, threshold: float = 0.75, least: int = 4) -> DataFrame:
-    """record, set_id, n_links: one row per record, with its class of equal sets and the number of records similar to it."""
-    sets = cut(record_sets(df, record, value, least), "records")
-    sizes = cut(sets.groupBy("set_id").agg(F.count("*").alias("n")), "classes")
-    pairs = similar_sets(sets.select("set_id", "terms"), threshold)
+def similar_links(df: DataFrame, record: str, value: str, threshold: float = 0.75, least: int = 4, miss: float = MISS) -> DataFrame:
+    """record, rep, n_links: one row per record, with its class and the number of records similar to it."""
+    of, classes = classes_of(df, record, value, least)
+    pairs = cut(similar_classes(classes, threshold, miss), "pairs")
     ways = pairs.union(pairs.select("b", "a")).toDF("set_id", "other")
-    links = ways.join(sizes.toDF("other", "m"), "other").groupBy("set_id").agg(F.sum("m").alias("m"))
-    return sets.select("record", "set_id").join(sizes, "set_id").join(links, "set_id", "left").select(
-        "record", "set_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links")
-    )
+    links = ways.join(classes.select(F.col("set_id").alias("other"), F.col("n").alias("m")), "other").groupBy("set_id").agg(F.sum("m").alias("m"))
+    per = classes.select("set_id", "rep", "n").join(links, "set_id", "left").select("set_id", "rep", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    return of.join(per, "set_id").select("record", "rep", "n_links")

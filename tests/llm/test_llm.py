@@ -8,8 +8,8 @@ import pytest
 from funweave.llm import frequencies as fr, packing as pk, residue as rs, similar_sets as ss, tokens as tk, top_items as ti
 
 
-@pytest.mark.parametrize("heavy", [5, 1_000_000])
-def test_top_items(spark, heavy):
+@pytest.mark.parametrize(("heavy", "shipped"), [(5, 100), (5, 0), (1_000_000, 100)])
+def test_top_items(spark, heavy, shipped):
     rng = random.Random(2)
     nan = float("nan")
     rows = [(rng.choice(["g1", "g2", "g3", None]), rng.choice([f"i{k}" for k in range(9)] + [None]), rng.choice([0.5, 0.5, -1.0, 0.1, None, nan])) for _ in range(400)] + [("solo", "x", -3.0)]
@@ -19,23 +19,33 @@ def test_top_items(spark, heavy):
         if g and i and s is not None and s == s:
             best[g][i] = max(s, best[g].get(i, s))
     want = {(g, i, n) for g, d in best.items() for n, (i, _) in enumerate(sorted(d.items(), key=lambda x: (-x[1], x[0]))[:5], 1)}
-    got = {(r.group_id, r.item_id, r.rank_no) for r in ti.top_items(ti.scored(df, "l", "g", "i", "s"), 5, heavy).collect()}
+    got = {(r.group_id, r.item_id, r.rank_no) for r in ti.top_items(ti.scored(df, "l", "g", "i", "s"), 5, heavy, shipped).collect()}
     assert got == want
     assert ti.top_items(ti.scored(df.limit(0), "l", "g", "i", "s")).count() == 0
 
 
-def test_ngram_counts(spark):
+@pytest.mark.parametrize("parts", [1, 9])
+def test_ngram_counts(spark, parts):
     rng = random.Random(3)
-    docs = [(str(k), [rng.choice(["a", "b", "c", None]) for _ in range(rng.randrange(12))]) for k in range(40)]
+    docs = [(rng.choice([f"r{k // 3}", "hot", None]), [rng.choice(["a", "b", "a\x1fb", "", None]) for _ in range(rng.randrange(12))]) for k in range(60)] + [("r1", None), ("r1", [])]
     df = spark.createDataFrame(docs, "rec string, vals array<string>")
     occ, recs = Counter(), defaultdict(set)
     for k, v in docs:
-        v = [x for x in v if x]
+        v = [x for x in v or [] if x is not None]
         for n in (1, 2, 3):
             for i in range(len(v) - n + 1):
-                occ[n, fr.SEP.join(v[i : i + n])] += 1
-                recs[n, fr.SEP.join(v[i : i + n])].add(k)
-    got = {(r.n, r.gram): (r.n_rows, r.n_members) for r in fr.ngram_counts(df, "vals", "rec", 3).collect()}
+                g = (n, *v[i : i + n], *[None] * (3 - n))
+                occ[g] += 1
+                recs[g] |= {k} - {None}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many partitions, so that runs cross them
+    try:
+        got = {(r.n, r.v1, r.v2, r.v3): (r.n_rows, r.n_members) for r in fr.gram_counts(fr.array_sequences(df, "vals", "rec"), 3).collect()}
+        assert fr.gram_counts(fr.array_sequences(df.limit(0), "vals", "rec"), 2).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {g: (c, len(recs[g])) for g, c in occ.items()}
 
 
@@ -62,13 +72,29 @@ def test_similar_pairs(spark):
     sets = {p: s for p, s in sets.items() if len(s) >= 4}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
     assert want
-    got = [tuple(r) for r in ss.similar_pairs(df, "protein", "go_id").collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for chunk in (2_000, 3):  # with chunks of three, segments and equal sets are parted
+        got = [tuple(r) for r in ss.similar_pairs(df, "protein", "go_id", chunk=chunk).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    reps = {r.record: r.rep for r in ss.members(df, "protein", "go_id").collect()}
+    assert reps == {p: min(q for q in sets if sets[q] == s) for p, s in sets.items()}
+    across = {tuple(r) for r in ss.class_pairs(df, "protein", "go_id").collect()}
+    assert across == {tuple(sorted((reps[a], reps[b]))) for a, b in want if reps[a] != reps[b]}
     links = {r.record: r.n_links for r in ss.similar_links(df, "protein", "go_id").collect()}
     assert links == {p: sum(p in w for w in want) for p in sets}
     assert ss.similar_pairs(df.limit(0), "protein", "go_id").count() == 0
 
 
+def test_sketches_of_long_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sizes = np.array([5, 40_000, 3, 9_000])
+    values, seeds = rng.integers(0, 2**32, sizes.sum(), dtype=np.uint32), rng.integers(1, 2**32, 70, dtype=np.uint32)
+    got, ends = ss._bits(values, sizes, seeds), np.cumsum(sizes)
+    for k, n in enumerate(sizes):
+        assert (got[k] == (ss._minima(values[ends[k] - n : ends[k]].copy(), np.zeros(1, int), seeds)[0] & np.uint32(1))).all()
+
+
 TEXTS = [None, "", "  ", "Hello  world\n\n", "<|endoftext|>", "naïve β-sheet 🧬 \x00", "a" * 20000, "it's we'LL 123,456", "\r\n\t x", "日本語テキスト"]
 
 
@@ -86,12 +112,26 @@ def test_tokens_match_and_round_trip(spark):
     assert tk.token_ids(df.limit(0)).count() == 0
 
 
+def test_patterns_keep_to_the_classes():
+    rng = random.Random(8)
+    counts = Counter(rng.choice([0, 3, 9, 20, 33, 34, 49, 50, 51, 80, 100]) for _ in range(700))
+    for top_up in (False, True):
+        used, fullest = Counter(), 0
+        for _, times, take in pk.patterns(dict(counts), 100, top_up):
+            least = min(pk.slots(n, 100) for n in take)
+            assert sum(c for n, c in take.items() if pk.slots(n, 100) == least) <= least
+            assert top_up or {pk.slots(n, 100) for n in take} == {least}
+            fullest = max(fullest, sum(n * c for n, c in take.items()))
+            used.update({n: c * times for n, c in take.items()})
+        assert used == counts and fullest <= 100
+
+
 @pytest.mark.parametrize("mixed", [True, False])
 def test_packing(spark, mixed):
     rng = random.Random(6)
     sizes = [rng.choice([0, 1, 7, 30, 50, 51, 99, 100, 101, 250, 300, None]) for _ in range(500)]
     df = spark.createDataFrame([(i, n, "clash") for i, n in enumerate(sizes)], "doc_id long, n int, bucket string")
-    rows = pk.pack(df, "doc_id", "n", 100, mixed, bucket_rows=50).collect()
+    rows = pk.pack(df, "doc_id", "n", 100, mixed, buckets=5).collect()
     per, pieces = Counter(), defaultdict(list)
     for r in rows:
         per[r.container] += r.piece_len
