@@ -154,9 +154,40 @@ def test_residue(spark):
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*probe, *fine, None, "", " "])], "doc_id long, text string, source string")
     p = {r.doc_id: r.p for r in rs.scored(df, model).collect()}
     assert [p[i] >= rs.THRESHOLD for i in range(len(p))] == [True] * 5 + [False] * 6
-    r = rs.validate(docs).collect()[0]
-    assert r.precision >= 0.7 and r.recall >= 0.5
     assert rs.residue(docs.limit(0)).count() == 0
+    assert rs.score(model, ["", " \n", "?"])[:2].tolist() == [0, 0]
+
+
+def test_residue_on_unseen_hosts(spark):
+    r = rs.validate(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()[0]
+    assert r.labelled > 50 and r.precision >= 0.9 and r.recall >= 0.9
+
+
+def test_residue_model_is_saved_and_loaded(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "Dear {{name}}, welcome." if i % 3 == 0 else f"The kinase binds ligand {i}.") for i in range(60)], "doc_id long, text string")
+    model = rs.train(docs)
+    rs.save_model(spark, model, str(tmp_path / "m"))
+    again = rs.load_model(spark, str(tmp_path / "m"))
+    assert (again == model).all()
+    assert {r.doc_id for r in rs.residue(docs, model=again).collect()} == set(range(0, 60, 3)) == {r.doc_id for r in rs.residue(docs).collect()}
+
+
+def test_residue_features_do_not_depend_on_the_batch():
+    texts = ["One two. Three {{x}} 404\nfour", "", "__A__ and <<b>>", "请启用 x", "aaaaaaa 7 a7", "…"]
+    x, at, text = rs.features(texts)
+    alone = [rs.features([t]) for t in texts]
+    assert [list(v) for v in x.reshape(-1, rs.PER_TOKEN)] == [list(v) for a in alone for v in a[0].reshape(-1, rs.PER_TOKEN)]
+    assert [list(text).count(i) for i in range(len(texts))] == [len(a[1]) for a in alone] == [3, 0, 1, 1, 1, 1]
+
+
+def test_hints_cover_the_patterns():
+    """A pattern is tried only on segments with a hint; on whole tables that loses none of its hits."""
+    import pyarrow.parquet as pq
+
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist():
+        for s in rs.segments(rs.plain(t)) if t else []:
+            found = any(p.search(s) for p in (rs.ERROR, rs.FILLER, rs.SCRIPTS, rs.SLOT, rs.REPEATS))
+            assert not found or rs.pattern_hit(s), s
 
 
 def test_residue_labels_all_documents(spark, monkeypatch):
@@ -170,4 +201,4 @@ def test_residue_labels_all_documents(spark, monkeypatch):
 def test_residue_keeps_long_segments(spark):
     long = "".join(f"word{i} " for i in range(500))
     rows = rs.labelled(spark.createDataFrame([(long + "Dear {{name}}",), (long + "ends here",)], "text string"), 10)
-    assert {(s.strip()[-8:], label) for s, label in zip(rows["segment"], rows["label"])} == {("{{name}}", 1), ("nds here", 0)}
+    assert {(s.strip()[-8:], kind) for s, kind in zip(rows["segment"], rows["kind"])} == {("{{name}}", "case"), ("nds here", "other")}
