@@ -70,12 +70,16 @@ SLOT = re.compile(
     r"|to be (?:filled in|added|completed|written|supplied)\b(?=\W*[\]>})*])|\b(undefined|none|null|nan) \1\b",
     re.I,
 )
-# What speaks of such things: quotation, documentation and narration.
+# What speaks of such things: typographic quotation (two marks in plain form) and words of documentation; of errors and
+# scripts also narration.
 SPEAKS = re.compile(
-    r"[\"“”«»„]|\b(?:glossary|style guide|help text|mock-up|unit test|ticket|exit code|in the settings|template (?:engine|language|uses|has|was)|written in|set to null|is denied by"
-    r"|rejected by|was not found in|was unavailable|visitors|marked by|we|our|were|was (?:updated|fixed|replaced|logged|raised|repaired|set|read|counted))\b",
+    r"``|''|\b(?:glossary|style guide|help text|mock-up|unit test|ticket|exit code|in the settings|templates?|stands? for|denotes?|notation|syntax|modifiers?|written in|set to null|is denied by"
+    r"|rejected by|was not found in|was unavailable|visitors|marked by)\b",
     re.I,
 )
+NARRATES = re.compile(r"\b(?:we|our|were|was (?:updated|fixed|replaced|logged|raised|repaired|set|read|counted))\b", re.I)
+
+
 # A segment is tried against the patterns only if it holds one of these; they are looked for all at once.
 _OPEN_WORDS = "insert your enter add todo tbd replace fill type put choose missing null".split()
 HINTS = (
@@ -93,7 +97,7 @@ REPEATS = re.compile(r"\b(\w+(?: \w+){0,2})(?: \1){3,}", re.I)
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _HIDDEN = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _WIDE = re.compile("([\u3040-\u30ff\u3400-\u9fff])")
-_LIKE = str.maketrans({"“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "’": "'", "‘": "'", "–": "-", "—": "-", "…": "...", "。": ". ", "\u2028": "\n", "\u2029": "\n", "\x85": "\n"})
+_LIKE = str.maketrans({"“": "``", "”": "''", "„": "``", "«": "``", "»": "''", "’": "'", "‘": "'", "–": "-", "—": "-", "…": "...", "。": ". ", "\u2028": "\n", "\u2029": "\n", "\x85": "\n"})
 
 
 @lru_cache(maxsize=20_000)
@@ -132,16 +136,21 @@ def _repeats(low: str) -> bool:
     return any(sum(map(eq, words, words[p:])) >= 3 * p for p in (1, 2, 3))
 
 
-def pattern_hit(segment: str) -> bool:
+def pattern_hit(segment: str) -> str | None:
+    """`case` by its wording, `speaks` if it only speaks of it, None without a pattern."""
     low = segment.lower()
-    if _hinted(low) and (ERROR.search(segment) or FILLER.search(segment) or SCRIPTS.search(segment) or SLOT.search(segment)):
-        return True
-    return _repeats(low) and bool(REPEATS.search(segment))
+    wording = slot = False
+    if _hinted(low):
+        wording = bool(ERROR.search(segment) or FILLER.search(segment) or SCRIPTS.search(segment))
+        slot = not wording and bool(SLOT.search(segment))
+    if not (wording or slot or (_repeats(low) and REPEATS.search(segment))):
+        return None
+    return "speaks" if SPEAKS.search(segment) or (wording and NARRATES.search(segment)) else "case"
 
 
 def weak_label(segment: str) -> int:
     """1 a case by its wording, else 0; what speaks of such things counts as none."""
-    return int(pattern_hit(segment) and not SPEAKS.search(segment))
+    return int(pattern_hit(segment) == "case")
 
 
 def suspect(text: str) -> bool:
@@ -290,9 +299,9 @@ def labelled(docs: DataFrame, sample_segments: int) -> pd.DataFrame:
                 may = suspect(t)
                 if d or may:
                     for i, s in enumerate(segments(t)):
-                        hit = may and pattern_hit(s)
+                        hit = pattern_hit(s) if may else None
                         if hit or d:
-                            rows.append((s, i == 0, ("speaks" if SPEAKS.search(s) else "case") if hit else "other"))
+                            rows.append((s, i == 0, hit or "other"))
             yield pd.DataFrame(rows, columns=["segment", "first", "kind"])
 
     found = docs.select("text", drawn.alias("drawn")).mapInPandas(run, "segment string, first boolean, kind string")
