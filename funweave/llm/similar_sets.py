@@ -28,6 +28,7 @@ from funweave.scratch import cut
 
 HEAD = 64  # bits of the code that travel with the segments
 CHUNK = 2_000  # classes of one segment value, or records of one class, that meet in a task
+SHIPPED_KEYS = 20_000  # crowded segment values that are broadcast; more are joined by shuffle
 ELEMENTS = 8_192  # set elements that are hashed at once
 MISS = 1e-6
 
@@ -115,14 +116,18 @@ def classes_of(df: DataFrame, record: str, value: str, least: int) -> tuple[Data
 
 
 def _meetings(rows: DataFrame, key: str, chunk: int) -> DataFrame:
-    """rows with key, at, side: every two rows of one key meet once as side 0 and side 1 under one (key, at); keys with
-    more than chunk rows are parted, so that no meeting has more than about chunk rows a side."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("m")).filter("m > 1")
-    parts = sizes.withColumn("parts", F.ceil(F.col("m") / chunk).cast("int")).drop("m")
-    marked = rows.join(parts, key).withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    few = marked.select(*rows.columns, "own", "parts", other)
-    return few.withColumn("at", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
+    """rows with at, own and other: every two rows of one key meet once under one (key, at). Keys that many rows share are
+    parted into chunks, and each two chunks meet under an `at` of their own, so that no meeting has many more than chunk rows
+    a side. Which keys these are is estimated from a sixteenth of the rows; that decides on the chunks, not on the result."""
+    rate = 16 if chunk >= 256 else 1
+    some = rows.filter(F.pmod(F.xxhash64("set_id", F.lit(3)), F.lit(rate)) == 0) if rate > 1 else rows
+    parts = F.ceil(F.col("m") * rate / chunk).cast("int")
+    hot = cut(some.groupBy(key).agg(F.count("*").alias("m")).filter(F.col("m") * rate * 2 > chunk).select(key, parts.alias("parts")), "hot")
+    marked = rows.join(F.broadcast(hot) if hot.count() <= SHIPPED_KEYS else hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    marked = marked.withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")).cast("int"))
+    one = F.array(F.lit(0))
+    met = marked.select(*rows.columns, "own", "parts", F.explode(F.when(F.col("parts") == 1, one).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("other"))
+    return met.withColumn("at", F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).drop("parts")
 
 
 def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS, chunk: int = CHUNK) -> DataFrame:
@@ -132,7 +137,7 @@ def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS, ch
     coded = classes.select("set_id", F.size("terms").alias("size"), F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes")).repartition(width, "set_id")
     coded = cut(coded.mapInArrow(sketches(bits, segments), "set_id long, size int, head long, code array<long>, keys array<long>"), "codes")
     rows = coded.select("set_id", "head", "size", F.explode("keys").alias("k"))
-    met = cut(_meetings(rows, "k", chunk).select("set_id", "head", "size", "k", "at", "own", "other"), "segments")
+    met = _meetings(rows, "k", chunk)
     x, y = (met.select("k", "at", *(F.col(c).alias(c + n) for c in ("set_id", "head", "size", "own", "other"))) for n in "ab")
     sized = F.least("sizea", "sizeb") >= F.lit(threshold) * F.greatest("sizea", "sizeb")
     head = F.bit_count(F.col("heada").bitwiseXOR(F.col("headb"))) <= near
@@ -149,7 +154,7 @@ def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS, ch
 
 def _within(of: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """ra, rb: the pairs of records of one class, met chunk by chunk."""
-    met = cut(_meetings(of.select("record", F.xxhash64("record").alias("set_id"), F.col("set_id").alias("k")), "k", chunk).select("record", "k", "at", "own", "other"), "equal")
+    met = _meetings(of.select("record", F.xxhash64("record").alias("set_id"), F.col("set_id").alias("k")), "k", chunk)
     x, y = (met.select("k", "at", *(F.col(c).alias(c + n) for c in ("record", "own", "other"))) for n in "ab")
     once = (F.col("owna") == F.col("otherb")) & (F.col("ownb") == F.col("othera"))
     return x.join(y, ["k", "at"]).filter(once & (F.col("recorda") < F.col("recordb"))).select(F.col("recorda").alias("ra"), F.col("recordb").alias("rb"))
