@@ -46,7 +46,7 @@ def _radius(bits: int, same: float, miss: float) -> int:
 
 def plan(n_sets: int, threshold: float, miss: float) -> tuple[int, int, int, int]:
     """Bits of a segment, number of segments, Hamming radius of the head and of the whole code."""
-    bits = min(30, max(8, math.ceil(math.log2(max(2, n_sets))) - 1))
+    bits = min(30, max(8, math.ceil(math.log2(max(2, n_sets))) - 4))  # a value is shared by some 16 classes at random
     same = min((1 + threshold) / 2, 1 - 1e-9)
     segments = max(math.ceil(math.log(miss / 3) / math.log1p(-(same**bits))), math.ceil(HEAD / bits))
     return bits, segments, _radius(HEAD, same, miss / 3), _radius(bits * segments, same, miss / 3)
@@ -116,7 +116,7 @@ def classes_of(df: DataFrame, record: str, value: str, least: int) -> tuple[Data
 
 
 def _meetings(rows: DataFrame, key: str, chunk: int) -> DataFrame:
-    """rows with at, own and other: every two rows of one key meet once under one (key, at). Keys that many rows share are
+    """rows with at (a long), own and other: every two rows of one key meet once under one `at`. Keys that many rows share are
     parted into chunks, and each two chunks meet under an `at` of their own, so that no meeting has many more than chunk rows
     a side. Which keys these are is estimated from a sixteenth of the rows; that decides on the chunks, not on the result."""
     rate = 16 if chunk >= 256 else 1
@@ -127,7 +127,8 @@ def _meetings(rows: DataFrame, key: str, chunk: int) -> DataFrame:
     marked = marked.withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")).cast("int"))
     one = F.array(F.lit(0))
     met = marked.select(*rows.columns, "own", "parts", F.explode(F.when(F.col("parts") == 1, one).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("other"))
-    return met.withColumn("at", F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).drop("parts")
+    at = F.xxhash64(key, F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))  # two that fall together only add candidates
+    return met.withColumn("at", F.when(F.col("parts") == 1, F.col(key)).otherwise(at)).drop("parts")
 
 
 def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS, chunk: int = CHUNK) -> DataFrame:
@@ -138,12 +139,12 @@ def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS, ch
     coded = cut(coded.mapInArrow(sketches(bits, segments), "set_id long, size int, head long, code array<long>, keys array<long>"), "codes")
     rows = coded.select("set_id", "head", "size", F.explode("keys").alias("k"))
     met = _meetings(rows, "k", chunk)
-    x, y = (met.select("k", "at", *(F.col(c).alias(c + n) for c in ("set_id", "head", "size", "own", "other"))) for n in "ab")
+    x, y = (met.select("at", *(F.col(c).alias(c + n) for c in ("set_id", "head", "size", "own", "other"))) for n in "ab")
     sized = F.least("sizea", "sizeb") >= F.lit(threshold) * F.greatest("sizea", "sizeb")
     head = F.bit_count(F.col("heada").bitwiseXOR(F.col("headb"))) <= near
     # two rows of one chunk meet in its own task alone, two of different chunks in theirs
     once = (F.col("owna") == F.col("otherb")) & (F.col("ownb") == F.col("othera"))
-    pairs = x.join(y, ["k", "at"]).filter((F.col("set_ida") < F.col("set_idb")) & once & sized & head)
+    pairs = x.join(y, "at").filter((F.col("set_ida") < F.col("set_idb")) & once & sized & head)
     pairs = pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")).distinct()
     t = coded.select("set_id", "code").join(classes.select("set_id", "terms"), "set_id")
     both = pairs.join(t.toDF("a", "ca", "ta"), "a").join(t.toDF("b", "cb", "tb"), "b")
@@ -155,9 +156,9 @@ def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS, ch
 def _within(of: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """ra, rb: the pairs of records of one class, met chunk by chunk."""
     met = _meetings(of.select("record", F.xxhash64("record").alias("set_id"), F.col("set_id").alias("k")), "k", chunk)
-    x, y = (met.select("k", "at", *(F.col(c).alias(c + n) for c in ("record", "own", "other"))) for n in "ab")
+    x, y = (met.select("at", *(F.col(c).alias(c + n) for c in ("record", "k", "own", "other"))) for n in "ab")
     once = (F.col("owna") == F.col("otherb")) & (F.col("ownb") == F.col("othera"))
-    return x.join(y, ["k", "at"]).filter(once & (F.col("recorda") < F.col("recordb"))).select(F.col("recorda").alias("ra"), F.col("recordb").alias("rb"))
+    return x.join(y, "at").filter(once & (F.col("ka") == F.col("kb")) & (F.col("recorda") < F.col("recordb"))).select(F.col("recorda").alias("ra"), F.col("recordb").alias("rb"))
 
 
 def similar_pairs(df: DataFrame, record: str, value: str, threshold: float = 0.75, least: int = 4, miss: float = MISS, chunk: int = CHUNK) -> DataFrame:
