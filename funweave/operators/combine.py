@@ -35,6 +35,19 @@ def pairwise_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.withColumn("delta", F.col("score_b") - F.col("score_a"))
 
 
+def extremes(deltas: DataFrame, n: int = 10) -> DataFrame:
+    """The n greatest gains and the n greatest losses of pairwise_delta, with rank_no and side; ties go by protein and term."""
+    up = deltas.orderBy(F.desc("delta"), *KEYS).limit(n).withColumn("side", F.lit("gain"))
+    down = deltas.orderBy("delta", *KEYS).limit(n).withColumn("side", F.lit("loss"))
+    at = F.row_number().over(W.partitionBy("side").orderBy(F.desc(F.abs("delta")), *KEYS))  # 2 n rows
+    return up.unionByName(down).withColumn("rank_no", at)
+
+
+def method_table(seeds: dict[str, DataFrame]) -> DataFrame:
+    """protein_id, term_id, method, score of several runs over their common universe, in long form, zeros left out."""
+    return reduce(DataFrame.unionByName, [s.select(*KEYS, F.lit(m).alias("method"), "score") for m, s in seeds.items()]).filter("score <> 0")
+
+
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """protein_id, n_common, n_union, jaccard of the term sets of two runs."""
     marked = a.select(*KEYS, F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(*KEYS, F.lit(0), F.lit(1)))

@@ -20,7 +20,7 @@ def select_hits(hits: DataFrame, evalue: float = 1e-5, coverage: float = 0.7, tm
         & (~F.col("has_tm") | (F.coalesce("avg_tm", F.lit(0.0)) >= tm))
     )
     first = good.groupBy("query", "target").agg(F.min("row_no").alias("row_no"), F.min_by("evalue", "row_no").alias("evalue"))
-    at = F.row_number().over(W.partitionBy("query").orderBy("row_no"))
+    at = F.row_number().over(W.partitionBy("query").orderBy("row_no", "target"))
     return first.withColumn("at", at).filter(F.col("at") <= top_k)
 
 
@@ -32,3 +32,28 @@ def support(accepted: DataFrame, target_ipr: DataFrame) -> DataFrame:
 def assignments(supported: DataFrame, ipr2go: DataFrame) -> DataFrame:
     """protein_id, term_id, interpro, score 1, distinct."""
     return supported.join(ipr2go, "interpro").select(F.col("query").alias("protein_id"), "term_id", "interpro").distinct().withColumn("score", F.lit(1.0))
+
+
+def with_fallback(structural: DataFrame, sequence: DataFrame) -> DataFrame:
+    """The hits of the structure search, and those of the sequence search for queries that have none there; source says which."""
+    rest = sequence.join(structural.select("query").distinct(), "query", "left_anti")
+    return structural.withColumn("source", F.lit("structure")).unionByName(rest.withColumn("source", F.lit("sequence")))
+
+
+def propagated(assigned: DataFrame, closure: DataFrame) -> DataFrame:
+    """protein_id, term_id, interpro, score: the assigned terms and all above them; a term keeps the domains it was
+    assigned by, one row for each, and has an empty one if it was only reached from below."""
+    own = assigned.select("protein_id", "term_id", "score")
+    up = own.join(closure, "term_id").select("protein_id", F.col("ancestor").alias("term_id"), "score")
+    terms = own.union(up).groupBy("protein_id", "term_id").agg(F.max("score").alias("score"))
+    by = assigned.select("protein_id", "term_id", "interpro").distinct()
+    return terms.join(by, ["protein_id", "term_id"], "left").withColumn("interpro", F.coalesce("interpro", F.lit(""))).select("protein_id", "term_id", "interpro", "score")
+
+
+def transfer(hits: DataFrame, target_ipr: DataFrame, ipr2go: DataFrame, closure: DataFrame, least: int = 1, **gates: float) -> DataFrame:
+    """From hits to assignments: gates, domains of the accepted targets with enough support, their terms, and the terms above.
+
+    target_ipr: target, interpro; ipr2go: interpro, term_id; closure: term_id, ancestor."""
+    accepted = select_hits(hits, **gates).select("query", "target")
+    supported = support(accepted, target_ipr.distinct()).filter(F.col("n") >= least)
+    return propagated(assignments(supported, ipr2go), closure)

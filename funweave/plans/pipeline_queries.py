@@ -12,7 +12,8 @@ from funweave.functions import ids
 from funweave.functions.text import norm_id
 from funweave.operators import annotate as an, combine as co, diffusion as di, evaluate as ev, graphs as gr, hierarchy as hi, ontology as on, orthology as ot
 from funweave.operators import structural as st
-from funweave.plans.problem_queries import _LINKS
+from funweave.operators.multivalue import split_cell
+from funweave.plans.problem_queries import _LINKS, _pieces
 from funweave.scratch import cut
 from funweave.sources.readers import numbered
 
@@ -48,7 +49,9 @@ def truth(s: SparkSession, d: str) -> DataFrame:
 def raw_edges(s: SparkSession, d: str) -> DataFrame:
     """One row p1, p2, score 1 for each protein that an annotation names, both of them in the protein index."""
     known = read(s, d, "proteins").select("protein_id")
-    rows = read(s, d, "goa").select(F.col("db_object_id").alias("p1"), F.explode(F.regexp_extract_all("with_from", F.lit("(ZX[0-9A-Z]{6})"), 1)).alias("p2"), "evidence_code")
+    # the values of the with-column, without the name of their database
+    named = F.transform(split_cell(F.col("with_from"), "with_from"), lambda x: F.regexp_extract(x, "([^:]+)$", 1))
+    rows = read(s, d, "goa").select(F.col("db_object_id").alias("p1"), F.explode(named).alias("p2"), "evidence_code")
     rows = rows.join(known.toDF("p1"), "p1", "left_semi").join(known.toDF("p2"), "p2", "left_semi")
     return rows.select("p1", "p2", F.lit(1.0).alias("score"), (norm_id(F.col("evidence_code")) == "IPI").cast("double").alias("ipi"))
 
@@ -92,14 +95,18 @@ def q_reciprocal(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_transfer(s: SparkSession, d: str) -> DataFrame:
-    p = read(s, d, "proteins").filter("taxon_id is not null")
-    orth = p.select(F.col("taxon_id").alias("organism_id"), F.substring("protein_id", 1, 5).alias("query"), F.col("protein_id").alias("target"))
-    e = raw_edges(s, d).select(F.col("p1").alias("a"), F.col("p2").alias("b"), "score")
-    org = p.select("protein_id", F.col("taxon_id").alias("organism_id"))
-    ln = e.join(org, e.a == org.protein_id).select("organism_id", "a", "b", "score")
-    # the other end may belong to another organism; it is mapped through the organism of the first, as a link file has it
-    ln = ln.join(org.select(F.col("organism_id").alias("o2"), F.col("protein_id").alias("b")), "b").withColumn("organism_id", F.lit(1))
-    return ot.transfer_edges(ln.select("organism_id", "a", "b", "score"), orth.withColumn("organism_id", F.lit(1)), ["score"])
+    """Links within four groups of taxa as organisms, and in each of them its proteins as orthologs of shorter ids."""
+    p = read(s, d, "proteins").filter("taxon_id is not null and seq_len is not null").withColumn("organism_id", F.pmod("taxon_id", F.lit(4)))
+    n = F.col("seq_len")
+    orth = p.select(
+        "organism_id", F.substring("protein_id", 1, 5).alias("query"), F.col("protein_id").alias("target"), F.pow(F.lit(10.0), -(n % 20).cast("double")).alias("query_evalue"),
+        (70 + n % 31).cast("double").alias("query_perc"), (60 + n % 41).cast("double").alias("target_perc"), (50 + n % 51).cast("double").alias("pos"),
+    )
+    org = p.select(F.col("protein_id").alias("a"), "organism_id")
+    ln = raw_edges(s, d).select(F.col("p1").alias("a"), F.col("p2").alias("b"), "score").join(org, "a")
+    banned = s.createDataFrame([("3",)], "tax_id string")
+    got = ot.transfer_edges(ln, orth, ["score"], blacklist=banned, validity={"max_evalue": 1e-6, "perc": 80.0, "positives": 60.0})
+    return got.withColumn("max_evalue", F.round(F.log10("max_evalue")).cast("int"))
 
 
 def q_coefficients(s: SparkSession, d: str) -> DataFrame:
@@ -152,10 +159,40 @@ def methods(s: SparkSession, d: str) -> DataFrame:
     return g.filter("method is not null and term_id is not null").distinct()
 
 
+def target_hits(s: SparkSession, d: str) -> DataFrame:
+    """Hits turned round: the seeds name the proteins that search, which here stand for the targets."""
+    turned = {"query": "target", "target": "query", "qstart": "tstart", "tstart": "qstart", "qend": "tend", "tend": "qend", "qlen": "tlen", "tlen": "qlen", "qtmscore": "ttmscore", "ttmscore": "qtmscore"}
+    return hits(s, d).withColumnsRenamed({k: f"_{k}" for k in turned}).withColumnsRenamed({f"_{k}": v for k, v in turned.items()})
+
+
+def domains(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """target, interpro and interpro, term_id of the seeds."""
+    rows = read(s, d, "seed").filter("interpro is not null")
+    own = rows.filter("protein is not null").select(F.col("protein").alias("target"), "interpro").distinct()
+    return own, rows.filter("go_id is not null").select("interpro", norm_id(F.col("go_id")).alias("term_id")).distinct()
+
+
 def assignments(s: SparkSession, d: str) -> DataFrame:
-    ipr = read(s, d, "seed").filter("interpro is not null and protein is not null").select(F.col("protein").alias("query"), "interpro").distinct()
-    go = read(s, d, "seed").filter("interpro is not null and go_id is not null").select("interpro", norm_id(F.col("go_id")).alias("term_id")).distinct()
-    return st.assignments(ipr, go)
+    own, go = domains(s, d)
+    return st.assignments(own.withColumnRenamed("target", "query"), go)
+
+
+def organisms(s: SparkSession, d: str) -> DataFrame:
+    p = read(s, d, "proteins").filter("taxon_id is not null").select("protein_id", F.col("taxon_id").alias("organism_id"))
+    return an.organism_profile(truth(s, d).join(p, "protein_id").select("organism_id", "protein_id", "term_id"), read(s, d, "goterm").filter("go_namespace is not null"))
+
+
+def runs(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Three runs on the proteins of the index."""
+    a, b = seed(s, d), prediction(s, d)
+    return {"I": a, "P": b, "I+P": co.weighted_sum([a, b], [0.9, 0.1])}
+
+
+def q_method_means(s: SparkSession, d: str) -> DataFrame:
+    t = truth(s, d)
+    ic = cut(on.information_content(t), "ic")
+    per = {m: ev.metrics(ev.curve(ev.cells(x, t, ic, "protein_id"))) for m, x in runs(s, d).items() if m != "I+P"}
+    return ev.labelled(rounded(ev.flattened(per), "value"), {"I": "domains", "P": "prediction"})
 
 
 PIVOT = ["molecular_function", "biological_process", "cellular_component"]
@@ -183,7 +220,7 @@ QUERIES = {
     "date_gate": lambda s, d: an.date_gate(read(s, d, "goa"), 2015).select("goa_id"),
     "method_vote": lambda s, d: rounded(an.method_vote(methods(s, d)), "score"),
     "hit_transfer": lambda s, d: an.hit_transfer(hits(s, d).select(F.col("target").alias("protein_id"), F.col("query").alias("target"), "evalue"), truth(s, d), 1e-20).select("protein_id", "term_id"),
-    "best_hit": lambda s, d: _best(hits(s, d)).select("query", "evalue", "row_no"),
+    "best_hit": lambda s, d: _best(hits(s, d)).select("query", "target", "evalue", "row_no"),
     "reciprocal_best_hit": q_reciprocal,
     "edge_transfer": q_transfer,
     "canonical_edges": edges,
@@ -215,9 +252,19 @@ QUERIES = {
     "pairwise_delta": lambda s, d: rounded(co.pairwise_delta(seed(s, d), prediction(s, d)), "delta"),
     "top_n_overlap": lambda s, d: rounded(co.overlap(co.top_n(seed(s, d), 10), co.top_n(prediction(s, d), 10)), "jaccard"),
     "score_pivot": q_pivot,
-    "structural_select": lambda s, d: st.select_hits(hits(s, d)).groupBy("query").agg(F.count("*").alias("n_targets"), F.max("at").alias("last_at")),
+    "structural_select": lambda s, d: st.select_hits(hits(s, d)).select("query", "target", "row_no", "at"),
+    "structural_transfer": lambda s, d: st.transfer(target_hits(s, d), *domains(s, d), closure(s, d, False)).select("protein_id", "term_id", "interpro"),
+    "structural_fallback": lambda s, d: st.with_fallback(hits(s, d).filter("qtmscore is not null").select("query", "target").distinct(), hits(s, d).select("query", "target").distinct()),
+    "gate_counts": lambda s, d: an.gate_counts(read(s, d, "goa"), read(s, d, "goterm"), blacklist=("8180843",)),
+    "code_filter": lambda s, d: an.code_filter(read(s, d, "goa"), "IPI|ISS").select("goa_id"),
+    "last_scores": lambda s, d: an.last_scores(read(s, d, "seed").filter("protein is not null and go_id is not null and score is not null and not isnan(score)").select(F.col("protein").alias("protein_id"), F.col("go_id").alias("term_id"), "score", F.struct("loaded_at", "score").alias("o")), "o"),
+    "organism_profile": organisms,
+    "organism_selection": lambda s, d: an.selected_organisms(organisms(s, d), least_popular=2, domains=2),
+    "gains_losses": lambda s, d: co.extremes(rounded(co.pairwise_delta(seed(s, d), prediction(s, d)), "delta"), 20).select("protein_id", "term_id", "delta", "side", "rank_no"),
+    "method_table": lambda s, d: rounded(co.method_table(runs(s, d)), "score"),
+    "method_means": q_method_means,
     "structural_assign": lambda s, d: assignments(s, d).select("protein_id", "term_id", "interpro"),
-    "ipr_support": lambda s, d: st.support(hits(s, d).select(F.col("target").alias("query"), F.col("query").alias("target")).distinct(), read(s, d, "seed").filter("interpro is not null and protein is not null").select(F.col("protein").alias("target"), "interpro").distinct()),
+    "ipr_support": lambda s, d: st.support(st.select_hits(target_hits(s, d)).select("query", "target"), domains(s, d)[0]),
     "rescore_children": lambda s, d: co.rescore(prediction(s, d), links(s, d), 0.05).select("protein_id", "term_id"),
     "accession_extract": lambda s, d: read(s, d, "proteins").select("protein_id", ids.piped_accession(ids.first_word(F.col("header"))).alias("accession")),
 }
@@ -243,7 +290,7 @@ _GATE = f"""SELECT DISTINCT g.db_object_id AS protein_id, nm.term AS term_id FRO
   AND coalesce(string_split(qualifier, '|')[1], '') <> 'NOT'"""
 _TRUTH = f"{_NAMES}, tr AS ({_GATE})"
 _RAW = f"""raw AS (SELECT p1, p2, CASE WHEN {_NORM.format("ev")} = 'IPI' THEN 1.0 ELSE 0.0 END AS ipi FROM (
-  SELECT db_object_id AS p1, unnest(regexp_extract_all(with_from, '(ZX[0-9A-Z]{{6}})', 1)) AS p2, evidence_code AS ev FROM goa)
+  SELECT db_object_id AS p1, regexp_extract(unnest({_pieces("with_from")}), '([^:]+)$', 1) AS p2, evidence_code AS ev FROM goa)
   WHERE p1 IN (SELECT protein_id FROM proteins) AND p2 IN (SELECT protein_id FROM proteins))"""
 _EDGES = f"""{_RAW}, e AS (SELECT least(p1, p2) AS p1, greatest(p1, p2) AS p2, CAST(count(*) AS DOUBLE) AS score FROM raw WHERE p1 <> p2 GROUP BY ALL),
 b AS (SELECT p1 AS i, p2 AS j, score AS w FROM e UNION ALL SELECT p2, p1, score FROM e)"""
@@ -308,10 +355,11 @@ pp AS (SELECT coalesce(pr.protein_id, tr.protein_id) AS protein_id, coalesce(pr.
 grid AS (SELECT p.protein_id, t.term_id FROM (SELECT DISTINCT protein_id FROM pp) p CROSS JOIN (SELECT DISTINCT term_id FROM pp) t)"""
 
 
-def _cells(entity: str) -> str:
+def _cells(entity: str, src: str = "pr") -> str:
     """The whole grid, built: the plain form that the engine's zero rows are held against."""
     n0 = "term_id" if entity == "protein_id" else "protein_id"
-    return f"""{_PAIRS},
+    pairs = _PAIRS if src == "pr" else f"{_SEED}, {_PAIRS}".replace("FROM pr),", f"FROM {src}),").replace("FROM pr FULL JOIN tr ON tr.protein_id = pr.protein_id AND tr.term_id = pr.term_id", f"FROM {src} pr FULL JOIN tr ON tr.protein_id = pr.protein_id AND tr.term_id = pr.term_id")
+    return f"""{pairs},
 cl AS (SELECT {entity} AS entity, coalesce(score, 0.0) AS score, count(*) AS n, sum(coalesce(y, 0)) AS pos, sum(coalesce(ic, 0) * coalesce(y, 0)) AS ic_pos, sum(coalesce(ic, 0) * (1 - coalesce(y, 0))) AS ic_neg
   FROM grid LEFT JOIN pp USING (protein_id, term_id) LEFT JOIN icx USING (term_id) GROUP BY 1, 2),
 cv AS (SELECT entity, score, sum(pos) OVER d AS tp, sum(n - pos) OVER d AS fp, sum(pos) OVER a AS p, sum(n) OVER a AS t, sum(ic_pos) OVER a - sum(ic_pos) OVER d AS ru, sum(ic_neg) OVER d AS mi, count(*) OVER a AS k
@@ -342,6 +390,23 @@ SELECT entity, {_R.format("dcg")} AS dcg, {_R.format("CASE WHEN idcg > 0 THEN dc
 
 _HITS = """h AS (SELECT query_id AS query, target_id AS target, *, epoch_us(loaded_at) AS row_no FROM foldseek_hit
   WHERE query_id IS NOT NULL AND target_id IS NOT NULL AND evalue IS NOT NULL AND NOT isnan(evalue))"""
+_TURNED = f"""{_HITS}, h2 AS (SELECT target AS query, query AS target, evalue, row_no, tstart AS qstart, tend AS qend, tlen AS qlen, qstart AS tstart, qend AS tend, qlen AS tlen, qtmscore, ttmscore FROM h)"""
+_DOMAINS = f"""i AS (SELECT DISTINCT protein, interpro FROM seed WHERE interpro IS NOT NULL AND protein IS NOT NULL),
+g AS (SELECT DISTINCT interpro, {_NORM.format('go_id')} AS term_id FROM seed WHERE interpro IS NOT NULL AND go_id IS NOT NULL)"""
+_ORGANISMS = f"""{_TRUTH}, oa AS (SELECT taxon_id AS organism_id, go_namespace AS domain, tr.protein_id, tr.term_id FROM tr JOIN proteins p ON p.protein_id = tr.protein_id JOIN goterm ON go_id = tr.term_id WHERE taxon_id IS NOT NULL AND go_namespace IS NOT NULL),
+ot AS (SELECT organism_id, domain, term_id, count(DISTINCT protein_id) AS n FROM oa GROUP BY ALL),
+profile AS (SELECT organism_id, domain, count(DISTINCT protein_id) AS n_proteins, count(*) AS n_annotations, (SELECT count(*) FROM ot WHERE ot.organism_id = oa.organism_id AND ot.domain = oa.domain) AS n_terms,
+  (SELECT count(*) FROM ot WHERE ot.organism_id = oa.organism_id AND ot.domain = oa.domain AND n >= 3) AS n_popular FROM oa GROUP BY ALL)"""
+
+
+def _select(rows: str) -> str:
+    """The gated targets of each query in file order, the first fifty."""
+    return f"""ht AS (SELECT *, (qtmscore + ttmscore) / 2 AS tm FROM {rows}), hv AS (SELECT query, bool_or(tm IS NOT NULL) AS has_tm FROM ht GROUP BY 1),
+hg AS (SELECT ht.query, target, min(row_no) AS row_no FROM ht JOIN hv ON hv.query = ht.query WHERE evalue <= 1e-5 AND CASE WHEN qlen = 0 THEN 0 ELSE greatest(qend - qstart + 1, 0) / qlen END >= 0.7
+  AND CASE WHEN tlen = 0 THEN 0 ELSE greatest(tend - tstart + 1, 0) / tlen END >= 0.7 AND (NOT has_tm OR coalesce(tm, 0) >= 0.5) GROUP BY ALL),
+sel AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY row_no, target) AS place FROM hg QUALIFY place <= 50)"""
+
+
 _TOP = "row_number() OVER (PARTITION BY protein_id ORDER BY score DESC, term_id)"
 
 SQL = {
@@ -362,12 +427,15 @@ SELECT domain, (SELECT count(DISTINCT protein_id) FROM tr JOIN goterm ON go_id =
     "method_vote": f"""WITH m AS (SELECT DISTINCT db_object_id AS protein_id, lower(assigned_by) AS method, {_NORM.format("go_id")} AS term_id FROM goa WHERE assigned_by IS NOT NULL AND go_id IS NOT NULL)
 SELECT protein_id, term_id, {_R.format("count(DISTINCT method) / (SELECT count(DISTINCT method) FROM m)")} AS score FROM m GROUP BY ALL""",
     "hit_transfer": f"WITH {_HITS}, {_TRUTH} SELECT DISTINCT h.target AS protein_id, term_id FROM h JOIN tr ON tr.protein_id = h.query WHERE evalue <= 1e-20",
-    "best_hit": f"WITH {_HITS} SELECT query, evalue, max(row_no) AS row_no FROM h WHERE (query, evalue) IN (SELECT query, min(evalue) FROM h GROUP BY 1) GROUP BY ALL",
+    "best_hit": f"WITH {_HITS} SELECT query, target, evalue, row_no FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY evalue, row_no DESC, target) = 1",
     "reciprocal_best_hit": f"""WITH {_HITS}, g AS (SELECT query, target, evalue, row_no, fident FROM h WHERE fident IS NOT NULL AND NOT isnan(fident)),
-f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query ORDER BY evalue, row_no DESC) = 1), k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY target ORDER BY evalue, row_no DESC) = 1)
+f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query ORDER BY evalue, row_no DESC, target) = 1), k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY target ORDER BY evalue, row_no DESC, query) = 1)
 SELECT f.query, f.target, {_R.format("sqrt(f.fident * k.fident)")} AS pos FROM f JOIN k ON k.query = f.query AND k.target = f.target""",
-    "edge_transfer": f"""WITH {_RAW}, o AS (SELECT protein_id, substring(protein_id, 1, 5) AS q FROM proteins WHERE taxon_id IS NOT NULL)
-SELECT least(a.q, b.q) AS p1, greatest(a.q, b.q) AS p2, CAST(count(*) AS DOUBLE) AS score FROM raw JOIN o a ON a.protein_id = p1 JOIN o b ON b.protein_id = p2 WHERE a.q <> b.q GROUP BY ALL""",
+    "edge_transfer": f"""WITH {_RAW}, o AS (SELECT protein_id, taxon_id % 4 AS org, substring(protein_id, 1, 5) AS q, seq_len % 20 AS e, 70 + seq_len % 31 AS qp, 60 + seq_len % 41 AS tp, 50 + seq_len % 51 AS pos
+  FROM proteins WHERE taxon_id IS NOT NULL AND seq_len IS NOT NULL),
+v AS (SELECT * FROM o WHERE org <> 3 AND e > 6 AND qp >= 80 AND tp >= 80 AND pos >= 60 AND org IN (SELECT org FROM o GROUP BY 1 HAVING count(*) > 2))
+SELECT least(a.q, b.q) AS p1, greatest(a.q, b.q) AS p2, CAST(count(*) AS DOUBLE) AS score, CAST(-min(least(a.e, b.e)) AS INTEGER) AS max_evalue
+FROM raw JOIN v a ON a.protein_id = p1 JOIN v b ON b.protein_id = p2 AND b.org = a.org WHERE a.q <> b.q GROUP BY ALL""",
     "canonical_edges": f"WITH {_EDGES} SELECT * FROM e",
     "symmetrise": f"WITH {_EDGES} SELECT * FROM b",
     "homology_weights": f"""WITH {_RAW}, n AS (SELECT p1, p2, pow(10.0, -count(*)) AS e FROM raw WHERE p1 <> p2 GROUP BY ALL),
@@ -398,11 +466,36 @@ SELECT p1, p2, {_R.format("CASE WHEN w = 1 THEN 1.0 ELSE w / (SELECT max(w) FROM
 u AS (SELECT protein_id, term_id, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
 SELECT protein_id, count(*) FILTER (n = 2) AS n_common, count(*) AS n_union, {_R.format("count(*) FILTER (n = 2) / count(*)")} AS jaccard FROM u GROUP BY 1""",
     "score_pivot": f"WITH {_SEED} SELECT protein_id, " + ", ".join(_R.format(f"coalesce(sum(score) FILTER (go_namespace = '{n}'), 0)") + f" AS {n}" for n in PIVOT) + " FROM s JOIN goterm ON go_id = term_id GROUP BY 1",
-    "structural_select": f"""WITH {_HITS}, t AS (SELECT *, (qtmscore + ttmscore) / 2 AS tm FROM h), v AS (SELECT query, bool_or(tm IS NOT NULL) AS has_tm FROM t GROUP BY 1),
-g AS (SELECT t.query, target FROM t JOIN v ON v.query = t.query WHERE evalue <= 1e-5 AND CASE WHEN qlen = 0 THEN 0 ELSE greatest(qend - qstart + 1, 0) / qlen END >= 0.7 AND CASE WHEN tlen = 0 THEN 0 ELSE greatest(tend - tstart + 1, 0) / tlen END >= 0.7 AND (NOT has_tm OR coalesce(tm, 0) >= 0.5))
-SELECT query, least(count(DISTINCT target), 50) AS n_targets, CAST(least(count(DISTINCT target), 50) AS INTEGER) AS last_at FROM g GROUP BY 1""",
+    "structural_select": f"WITH {_HITS}, {_select('h')} SELECT query, target, row_no, CAST(place AS INTEGER) AS \"at\" FROM sel",
+    "structural_transfer": f"""WITH RECURSIVE {_GOOD}, {_TURNED}, {_select('h2')}, {_DOMAINS},
+a AS (SELECT DISTINCT sel.query AS protein_id, g.term_id, i.interpro FROM sel JOIN i ON i.protein = sel.target JOIN g USING (interpro)),
+t AS (SELECT protein_id, term_id FROM a UNION SELECT protein_id, ancestor FROM a JOIN updom USING (term_id))
+SELECT t.protein_id, t.term_id, coalesce(a.interpro, '') AS interpro FROM t LEFT JOIN a USING (protein_id, term_id)""",
+    "structural_fallback": f"""WITH {_HITS}, a AS (SELECT DISTINCT query, target FROM h WHERE qtmscore IS NOT NULL)
+SELECT query, target, 'structure' AS source FROM a UNION ALL SELECT DISTINCT query, target, 'sequence' FROM h WHERE query NOT IN (SELECT query FROM a)""",
+    "gate_counts": f"""WITH {_NAMES}, o AS (SELECT upper(trim(name, ' ')) AS key, bool_or(coalesce(t.is_obsolete, false)) AS obs FROM nm JOIN goterm t ON t.go_id = nm.term GROUP BY 1),
+w AS (SELECT CASE WHEN coalesce(list_contains(regexp_extract_all(taxon, '([0-9]+)', 1), '8180843'), false) THEN 'b'
+  WHEN NOT coalesce({_NORM.format("evidence_code")} IN ('EXP', 'IDA', 'IPI', 'IMP', 'IGI', 'IEP'), false) THEN 'c' WHEN coalesce(string_split(qualifier, '|')[1], '') = 'NOT' THEN 'n'
+  WHEN key IS NULL THEN 'u' WHEN obs THEN 'o' ELSE 'k' END AS w FROM goa LEFT JOIN o ON key = {_NORM.format("goa.go_id")})
+SELECT count(*) AS read, count(*) FILTER (w = 'b') AS blacklisted, count(*) FILTER (w = 'c') AS other_code, count(*) FILTER (w = 'n') AS negated, count(*) FILTER (w = 'u') AS unknown_term, count(*) FILTER (w = 'o') AS obsolete, count(*) FILTER (w = 'k') AS kept FROM w""",
+    "code_filter": "SELECT goa_id FROM goa WHERE regexp_matches(evidence_code, 'IPI|ISS')",
+    "last_scores": "SELECT protein AS protein_id, go_id AS term_id, score FROM seed WHERE protein IS NOT NULL AND go_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) QUALIFY row_number() OVER (PARTITION BY protein, go_id ORDER BY loaded_at DESC, score DESC) = 1",
+    "organism_profile": f"WITH {_ORGANISMS} SELECT * FROM profile",
+    "organism_selection": f"WITH {_ORGANISMS} SELECT organism_id FROM profile GROUP BY 1 HAVING sum(n_annotations) >= 10 AND count(*) FILTER (n_popular >= 2) >= 2",
+    "gains_losses": f"""WITH {_SEED}, {_PRED}, x AS (SELECT coalesce(s.protein_id, pr.protein_id) AS protein_id, coalesce(s.term_id, pr.term_id) AS term_id, {_R.format('coalesce(pr.score, 0) - coalesce(s.score, 0)')} AS delta
+  FROM s FULL JOIN pr ON pr.protein_id = s.protein_id AND pr.term_id = s.term_id)
+(SELECT *, 'gain' AS side, CAST(row_number() OVER (ORDER BY delta DESC, protein_id, term_id) AS INTEGER) AS rank_no FROM x QUALIFY rank_no <= 20)
+UNION ALL (SELECT *, 'loss', CAST(row_number() OVER (ORDER BY delta, protein_id, term_id) AS INTEGER) AS rank_no FROM x QUALIFY rank_no <= 20)""",
+    "method_table": f"""WITH {_SEED}, {_PRED} SELECT protein_id, term_id, method, {_R.format('score')} AS score FROM (SELECT *, 'I' AS method FROM s UNION ALL SELECT *, 'P' FROM pr
+  UNION ALL SELECT protein_id, term_id, sum(x), 'I+P' FROM (SELECT protein_id, term_id, 0.9 * score AS x FROM s UNION ALL SELECT protein_id, term_id, 0.1 * score FROM pr) GROUP BY 1, 2)""",
+    "method_means": " UNION ALL ".join(
+        f"""SELECT '{label}' AS method, metric, {_R.format('avg(value)')} AS value FROM (UNPIVOT (WITH {_cells('protein_id', src)}
+  SELECT CASE WHEN flat THEN 0.5 ELSE auc END AS auc, CASE WHEN flat THEN p / t ELSE aupr END AS aupr, CASE WHEN flat THEN 0 ELSE f_max END AS f_max, s_min FROM mt)
+  ON auc, aupr, f_max, s_min INTO NAME metric VALUE value) GROUP BY metric"""
+        for label, src in (("domains", "s"), ("prediction", "pr"))
+    ),
     "structural_assign": f"WITH a AS (SELECT DISTINCT protein, interpro FROM seed WHERE interpro IS NOT NULL AND protein IS NOT NULL), g AS (SELECT DISTINCT interpro, {_NORM.format('go_id')} AS term_id FROM seed WHERE interpro IS NOT NULL AND go_id IS NOT NULL) SELECT protein AS protein_id, term_id, interpro FROM a JOIN g USING (interpro)",
-    "ipr_support": f"WITH {_HITS}, a AS (SELECT DISTINCT target AS q, query AS t FROM h), i AS (SELECT DISTINCT protein, interpro FROM seed WHERE interpro IS NOT NULL AND protein IS NOT NULL) SELECT q AS query, interpro, count(*) AS n FROM a JOIN i ON i.protein = t GROUP BY ALL",
+    "ipr_support": f"WITH {_TURNED}, {_select('h2')}, {_DOMAINS} SELECT query, interpro, count(*) AS n FROM sel JOIN i ON i.protein = sel.target GROUP BY ALL",
     "rescore_children": f"WITH RECURSIVE {_LINKS}, {_PRED} SELECT protein_id, term_id FROM pr WHERE NOT EXISTS (SELECT 1 FROM pr c JOIN links ON links.child = c.term_id WHERE c.protein_id = pr.protein_id AND links.parent = pr.term_id AND c.score <= pr.score + 0.05)",
     "accession_extract": r"SELECT protein_id, CASE WHEN contains(w, '|') THEN string_split(w, '|')[2] ELSE w END AS accession FROM (SELECT protein_id, regexp_extract(header, '^>?\s*(\S+)', 1) AS w FROM proteins)",
 }

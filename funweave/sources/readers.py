@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from funweave import schemas
-from funweave.functions.ids import first_word
+from funweave.functions.ids import first_word, piped_accession
+from funweave.operators import strict_load as sl
 from funweave.operators.strict_load import TBLOUT_COLUMNS
+from funweave.scratch import cut
 
 
 def _lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
@@ -18,11 +20,15 @@ def _field(i: int) -> Column:
     return F.get("f", F.lit(i))
 
 
+# The letters of the 20 amino acids.
+AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """header, seq (letters only, upper case), name. Records are split at line starts, so files stay splittable."""
+    """header, seq (amino acids only, upper case), name. Records are split at line starts, so files stay splittable."""
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>|\r", "").alias("r")).filter("trim(r) <> ''")
     header = F.split_part("r", F.lit("\n"), F.lit(1))
-    body = F.upper(F.regexp_replace(F.substr("r", F.length(header) + 1), "[^A-Za-z]", ""))
+    body = F.regexp_replace(F.upper(F.substr("r", F.length(header) + 1)), f"[^{AMINO_ACIDS}]", "")
     return rows.select(header.alias("header"), body.alias("seq"), first_word(header).alias("name"))
 
 
@@ -50,6 +56,24 @@ def obo_terms(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     return terms.drop("stanza_no"), up.join(terms.select("stanza_no", "go_id"), "stanza_no").select("go_id", "relation", "related_id")
 
 
+def raw_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The lines of a file in the form that strict_load reads: line_id (in file order), file_kind, file_name, line_text."""
+    rows = spark.read.text(path)
+    return rows.select(F.monotonically_increasing_id().alias("line_id"), F.lit(kind).alias("file_kind"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line_text"))
+
+
+def strict_gaf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The typed rows of the conforming lines of an annotation file, and line_id, reason of the others."""
+    lines = cut(raw_lines(spark, path, "gaf"), "lines")
+    return sl.load_gaf(lines), sl.rejected(lines)
+
+
+def strict_tblout(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The typed rows of the conforming lines of a profile search, and line_id, reason of the others."""
+    lines = cut(raw_lines(spark, path, "tblout"), "lines")
+    return sl.load_tblout(lines), sl.rejected(lines)
+
+
 def gaf(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="!", quote="", schema=schemas.GAF)
 
@@ -68,7 +92,7 @@ def interproscan(spark: SparkSession, path: str) -> DataFrame:
 def evalue_file(spark: SparkSession, path: str) -> DataFrame:
     """protein_id, target, evalue, term_id: ragged rows of three fields and one or more terms."""
     rows = _lines(spark, path).select(F.split("value", "\t").alias("f")).filter(F.size("f") >= 4)
-    return rows.select(_field(0).alias("protein_id"), _field(1).alias("target"), _field(2).try_cast("double").alias("evalue"), F.explode(F.slice("f", 4, 100_000)).alias("term_id"))
+    return rows.select(_field(0).alias("protein_id"), _field(1).alias("target"), _field(2).try_cast("double").alias("evalue"), F.explode(F.slice("f", F.lit(4), F.size("f"))).alias("term_id"))
 
 
 def blast(spark: SparkSession, path: str) -> DataFrame:
@@ -109,6 +133,12 @@ def homology(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame | Non
     return spark.read.parquet(path) if path.endswith(".parquet") else graph(spark, path, sep)
 
 
+def is_structural(spark: SparkSession, path: str) -> bool:
+    """Whether the first line of a file is a header with Protein and GO ID."""
+    first = spark.read.text(path).limit(1).collect()
+    return bool(first) and {"Protein", "GO ID"} <= set(first[0][0].split("\t"))
+
+
 def structural_assignments(spark: SparkSession, path: str) -> DataFrame:
     """protein_id, term_id, score of a file with a header of Protein and GO ID; a bad score is 0, a missing column 1."""
     rows = spark.read.csv(path, sep="\t", header=True)
@@ -139,6 +169,18 @@ def protein2ipr(spark: SparkSession, path: str, wanted: DataFrame | None = None)
     return rows.join(wanted.select("accession").distinct(), "accession", "left_semi") if wanted is not None else rows
 
 
+def swissprot_ipr(spark: SparkSession, path: str, fasta_path: str) -> DataFrame:
+    """accession, interpro of the accessions in a FASTA file of piped names."""
+    names = fasta(spark, fasta_path).select(piped_accession(F.col("name")).alias("accession"))
+    return protein2ipr(spark, path, names)
+
+
+def proteomes(spark: SparkSession, path: str) -> DataFrame:
+    """A proteome table with its header; column names in lower case with underscores."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    return rows.toDF(*("_".join(c.lower().split()) for c in rows.columns))
+
+
 def foldseek(spark: SparkSession, path: str) -> DataFrame:
     """Hits of 12 or 16 columns with row_no in file order; numbers that do not parse are null."""
     rows = _lines(spark, path).select(F.split("value", "\t").alias("f"), F.monotonically_increasing_id().alias("row_no")).filter(F.size("f") >= 12)
@@ -159,7 +201,8 @@ def structure_files(spark: SparkSession, folder: str, pattern: str = "*.{pdb,cif
 
 def numbered(ids: DataFrame, column: str) -> DataFrame:
     """Sorted ids with a dense number from 0. For dimension tables: ids are numbered within sampled ranges, then offset."""
-    rows = ids.select(column).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    ranged = ids.select(column).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    rows = cut(ranged, "ranged")  # both uses below must see the same ranges
     rows = rows.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy(column)))
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"))  # one row per range
     start = sizes.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from funweave.operators.strict_load import GAF_COLUMNS
+
 
 def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=header)
@@ -28,6 +30,23 @@ def write_by(df: DataFrame, column: str, path: str, kind: str = "csv") -> None:
     df.write.mode("overwrite").partitionBy(column).format(kind).save(path)
 
 
+def write_fasta(records: DataFrame, path: str, width: int = 60) -> None:
+    """Records header, seq with sequences broken into lines."""
+    lines = F.rtrim(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"))
+    records.select(F.concat(F.lit(">"), "header", F.lit("\n"), lines)).write.mode("overwrite").text(path)
+
+
+def write_gaf(annotations: DataFrame, path: str) -> None:
+    """Annotation rows with all their columns, parted by tabs, nulls empty."""
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in GAF_COLUMNS]
+    annotations.select(F.concat_ws("\t", *cols)).write.mode("overwrite").text(path)
+
+
+def write_pairs(kernel: DataFrame, path: str) -> None:
+    """The pairs p1 < p2 of a kernel or graph with their weight."""
+    write_tsv(kernel.filter("p1 < p2"), path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
