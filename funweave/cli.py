@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import MISSING, fields
 
 from pyspark.sql import SparkSession, functions as F
 
 from funweave.operators import annotate as an, combine as co, diffusion as di, graphs as gr, hierarchy as hi, ontology as on
+from funweave.functions import ids
+from funweave.plans import predict as pr
 from funweave.sources import readers as rd, sinks as sk
 
 
@@ -62,7 +65,46 @@ def top_predictions(spark: SparkSession, a: argparse.Namespace) -> None:
     sk.write_tsv(co.top_n(rd.scores(spark, a.prediction_file), a.N).drop("rank_no"), a.output)
 
 
+def predict(spark: SparkSession, a: argparse.Namespace) -> None:
+    given = {f.name: getattr(a, f.name) for f in fields(pr.Inputs)}
+    inputs = pr.Inputs(**given).configured(a.run_config)
+    lacking = [n for n in ("fasta", "obo") if not getattr(inputs, n)]
+    if lacking or not (inputs.channels or (inputs.links and inputs.orthologs)):
+        raise SystemExit(f"missing: {', '.join(lacking) or 'channels, or links and orthologs'}")
+    sk.write_tsv(pr.from_files(spark, a.folder, inputs, pr.Settings(method=a.method)), a.output)
+
+
+def transfer(spark: SparkSession, a: argparse.Namespace) -> None:
+    sk.write_tsv(pr.transferred(spark, a.links, a.orthologs, a.blacklist, a.max_evalue, a.perc, a.positives), a.output, header=True)
+
+
+def homology(spark: SparkSession, a: argparse.Namespace) -> None:
+    sk.write_tsv(gr.within(gr.homology(rd.blast(spark, a.blast))[0], rd.fasta(spark, a.fasta).select(F.col("name").alias("protein_id"))), a.output)
+
+
+def extract_seeds(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The seed stages of a prediction folder as text, each in a folder of its own."""
+    for name in ("seed-domains", "seed-profiles"):
+        sk.write_tsv(spark.read.parquet(f"{a.folder}/{name}-*.parquet"), f"{a.output}/{name}")
+
+
+def filter_files(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Annotations with the evidence codes, and the sequences they name; lines that fail go to a folder with their reason."""
+    rows, bad = rd.strict_gaf(spark, a.gaf)
+    kept = rows.filter(F.col("evidence_code").isin(*a.evidence_codes.split(",")))
+    kept = kept.withColumn("annot_date", F.date_format("annot_date", "yyyyMMdd"))
+    sk.write_gaf(kept, f"{a.output}/gaf")
+    own = rd.fasta(spark, a.fasta).withColumn("protein_id", ids.piped_accession(F.col("name")))
+    sk.write_fasta(own.join(kept.select(F.col("db_object_id").alias("protein_id")).distinct(), "protein_id", "left_semi"), f"{a.output}/fasta")
+    sk.write_tsv(bad, f"{a.output}/rejected")
+
+
 COMMANDS = {
+    "predict": (predict, ["folder"], {"run_config": "", "method": "laplacian"} | {f.name: "" if f.default is MISSING else f.default for f in fields(pr.Inputs)}),
+    "transfer": (transfer, ["links", "orthologs"], {"blacklist": "", "max_evalue": 1e-6, "perc": 80.0, "positives": 60.0}),
+    "homology": (homology, ["blast", "fasta"], {}),
+    "extract-seeds": (extract_seeds, ["folder"], {}),
+    "filter": (filter_files, ["gaf", "fasta"], {"evidence_codes": ",".join(an.EXPERIMENTAL)}),
     "diffuse": (diffuse, ["graph", "labelling"], {"method": "laplacian", "tolerance": 1e-9}),
     "combine": (combine, ["collection", "seed", "fasta"], {"selection": "", "threshold": 0.2}),
     "hmmer-seed": (hmmer_seed, ["evalue_file", "obo"], {"threshold": 1e-4}),

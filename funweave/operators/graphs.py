@@ -126,10 +126,11 @@ def coefficients(edges: DataFrame, target: DataFrame, channels: list[str], n_pro
     Only sums over pairs that have a channel or a target are gathered; the rest of the pairs are zeros and enter
     through their number alone. The system has one row per channel and is solved on the driver, by minimum norm.
     """
-    rows = edges.join(target, ["p1", "p2"], "full").select(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in [*channels, "y"]))
+    goal = target.select("p1", "p2", F.col("y").alias("_target"))  # a channel may be called y
+    rows = edges.join(goal, ["p1", "p2"], "full").select(*(F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in [*channels, "_target"]))
     k = len(channels)
-    sums = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(channels) for b in channels[i:]] + [F.sum(F.col(a) * F.col("y")) for a in channels]
-    got = [x or 0.0 for x in rows.agg(*sums, *(F.sum(a) for a in channels), F.sum("y")).collect()[0]]  # one row
+    sums = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(channels) for b in channels[i:]] + [F.sum(F.col(a) * F.col("_target")) for a in channels]
+    got = [x or 0.0 for x in rows.agg(*sums, *(F.sum(a) for a in channels), F.sum("_target")).collect()[0]]  # one row
     gram, right, at = np.zeros((k + 1, k + 1)), np.zeros(k + 1), 0
     for i in range(k):
         for j in range(i, k):

@@ -226,3 +226,50 @@ def test_top_predictions_command(spark, tmp_path):
 def test_numbered(spark):
     got = rd.numbered(spark.createDataFrame([(x,) for x in "dbacb"], "id string"), "id").collect()
     assert {r.id: r.idx for r in got} == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
+GAF_LINE = "DB\t{0}\tS\t\t{1}\tR\tIDA\t\tP\tn\t\tprotein\ttaxon:1\t20200101\tX\t\t"
+
+
+def test_predict_command(spark, tmp_path):
+    (tmp_path / "p.fa").write_text("".join(f">{x}\nMK\n" for x in "abcd"))
+    (tmp_path / "o.obo").write_text(OBO)
+    (tmp_path / "i.tsv").write_text("a\tm\t1\tPfam" + "\t-" * 9 + "\tGO:0000003\nb\tm\t1\tPfam" + "\t-" * 9 + "\tGO:0000002\n")
+    (tmp_path / "t.tbl").write_text("# c\nsp|T1|x - c - 1e-9 2 3 .5 1. 1 1 1 1 1 1 1 1 1 words\nsp|T1|x - d - 1 2 3 .5 1. 1 1 1 1 1 1 1 1 1 words\n")
+    (tmp_path / "g.gaf").write_text("!v\n" + GAF_LINE.format("T1", "GO:0000002") + "\nbroken\n")
+    (tmp_path / "l.txt").write_text("protein1 protein2 x y\n9.A 9.B 700 1\n9.B 9.A 700 0\n9.B 9.C 300 5\n8.A 8.B 900 9\n")
+    orth = [("9", q, f"9.{q.upper()}", 1e-9, 90.0, 90.0, 70.0) for q in "abc"] + [("8", q, f"8.{q.upper()}", 1e-9, 90.0, 90.0, 70.0) for q in "abc"]
+    spark.createDataFrame(orth, "organism_id string, query string, target string, query_evalue double, query_perc double, target_perc double, pos double").write.parquet(str(tmp_path / "orth"))
+    (tmp_path / "bl").write_text("8\n")
+    f = lambda n: str(tmp_path / n)
+    cli.main(["transfer", "--links", f("l.txt"), "--orthologs", f("orth"), "--blacklist", f("bl"), "--output", f("edges")])
+    assert {tuple(r) for r in spark.read.csv(f("edges"), sep="\t", header=True).collect()} == {("a", "b", "1400", "1"), ("b", "c", "300", "5")}
+    (tmp_path / "run.ini").write_text(f"[run]\nfasta = {f('p.fa')}\nobo = {f('o.obo')}\nlinks = {f('l.txt')}\northologs = {f('orth')}\ntransfer_blacklist = {f('bl')}\n")
+    cli.main(["predict", "--folder", f("run"), "--run-config", f("run.ini"), "--domains", f("i.tsv"), "--hmmer", f("t.tbl"), "--gaf", f("g.gaf"), "--output", f("out")])
+    got = table(rd.scores(spark, f("out")))
+    # the domain search votes for terms below and above; c has its seed from the profile search, d has none
+    assert got["a", "GO:0000003"] > got["b", "GO:0000003"] > 0 and got["b", "GO:0000001"] > 0 and 0 < got["c", "GO:0000002"]
+    assert not any(p == "d" for p, _ in got)
+    cli.main(["extract-seeds", "--folder", f("run"), "--output", f("seeds")])
+    assert {(r.protein_id, r.term_id) for r in rd.scores(spark, f("seeds/seed-profiles")).collect()} == {("c", "GO:0000002"), ("c", "GO:0000001")}
+    cli.main(["filter", "--gaf", f("g.gaf"), "--fasta", f("p.fa"), "--output", f("few")])
+    assert spark.read.text(f("few/gaf")).collect()[0][0].rstrip() == GAF_LINE.format("T1", "GO:0000002").rstrip() and spark.read.text(f("few/rejected")).count() == 1
+    with pytest.raises(SystemExit):
+        cli.main(["predict", "--folder", f("run"), "--output", f("out")])
+
+
+def test_long_evalue_lines(spark, tmp_path):
+    (tmp_path / "e.tsv").write_text("q\tt\t1e-9\t" + "\t".join(f"GO:{i}" for i in range(150_000)) + "\n")
+    assert rd.evalue_file(spark, str(tmp_path / "e.tsv")).count() == 150_000
+
+
+def test_small_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from funweave.functions import ids
+
+    df = spark.createDataFrame([("Xus yus (strain 1) ATCC 7", 0.000123, "a")], "n string, v double, k string")
+    got = df.select(ids.before_marks(F.col("n"), ("(", "ATCC")), ids.number_text(F.col("v"), "%.2e"), ids.looked_up(F.create_map(F.lit("a"), F.lit("b")), F.col("k")), ids.looked_up(F.create_map(F.lit("z"), F.lit("b")), F.col("k"), "-")).collect()[0]
+    assert tuple(got) == ("Xus yus", "1.23e-04", "b", "-")
+    rows = spark.createDataFrame([(f"AF-{'P12345'}-F1.pdb",), ("sp|Q9XYZ1|N",), ("x P0A7B8 y",), ("none",)], "t string")
+    assert [r[0] for r in rows.select(ids.any_accession(F.col("t"))).collect()] == ["P12345", "Q9XYZ1", "P0A7B8", None]
