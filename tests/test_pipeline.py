@@ -1,9 +1,13 @@
 """Small hand-checked cases of the pipeline's operators, and files read and written."""
 
+import math
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from funweave import cli
-from funweave.operators import annotate as an, combine as co, diffusion as di, evaluate as ev, graphs as gr, hierarchy as hi, ontology as on, orthology as ot, structural as st
+from funweave.operators import annotate as an, blocks, combine as co, diffusion as di, evaluate as ev, graphs as gr, hierarchy as hi, ontology as on, orthology as ot, structural as st
 from funweave.sources import readers as rd, sinks as sk
 
 S = "protein_id string, term_id string, score double"
@@ -43,6 +47,74 @@ def test_diffusion_converges_or_is_solved_directly(spark, monkeypatch):
         di.propagate(links(4.0), b, none)
 
 
+LONG = [(f"n{x:02}", f"n{x + 1:02}", 1.0 + x % 3) for x in range(39)] + [("x", "y", 2.0), ("n00", "n02", 0.5)]
+MARKS = [("n00", "t1", 1.0), ("n20", "t1", 0.4), ("n39", "t2", 0.7), ("y", "t2", 0.3), ("z", "t1", 0.9)]
+
+
+def spread_by(spark, monkeypatch, method, rounds=None, top=None):
+    """Scores of a method on a long path, a pair and a lone protein, beside the links, labels and diagonal that were given to the rounds; no round may be written."""
+    given, cut, propagate = {}, di.cut, di.propagate
+
+    def whole(df, name="stage"):
+        assert name != "round"
+        return cut(df, name)
+
+    def seen(links, b, diagonal, *a, **k):
+        given.update(links=links.collect(), b=b.collect(), k=dict(map(tuple, diagonal.collect())))
+        return propagate(links, b, diagonal, *a, **k)
+
+    monkeypatch.setattr(di, "cut", whole)
+    monkeypatch.setattr(di, "propagate", seen)
+    got = table(di.METHODS[method](gr.canonical(spark.createDataFrame(LONG, G)), spark.createDataFrame(MARKS, S), rounds=rounds, tolerance=1e-12, top=top))
+    names = sorted({x for e in LONG for x in e[:2]} | {"z"})
+    at, want = {x: n for n, x in enumerate(names)}, {}
+    m, k = np.zeros((len(names),) * 2), np.array([given["k"].get(x, 1.0) for x in names])
+    for i, j, w in given["links"]:
+        m[at[i], at[j]] += w / k[at[i]]
+    for term in ("t1", "t2"):
+        b = np.zeros(len(names))
+        for protein, t, score in given["b"]:
+            b[at[protein]] += score / k[at[protein]] if t == term else 0
+        x, near = b, b != 0
+        for _ in range(rounds or len(names)):
+            x, near = b + m @ x, near | (m != 0) @ near
+        if not rounds:
+            x = np.linalg.solve(np.eye(len(names)) - m, b)
+        want |= {(names[n], term): pytest.approx(x[n], abs=1e-11) for n in np.flatnonzero(near)}
+    return got, want
+
+
+def test_consistency_method_runs_in_blocks(spark, monkeypatch):
+    got, want = spread_by(spark, monkeypatch, "consistency-method")
+    assert got == want and len(got) == 83
+
+
+def test_blocks_of_terms(spark, monkeypatch):
+    """Parts and terms that are solved apart give what one block gives."""
+    pairs = [(*x, 0.1) for e in LONG for x in (e[:2], e[1::-1])]
+    rows = lambda a: {(r["protein_id"], r["term_id"]): r["score"] for r in a}
+
+    def run(rounds=None, top=None):
+        g = blocks.graph(spark.createDataFrame(pairs, "i string, j string, w double"))
+        assert 0.2 * (1 - 1e-9) <= g.radius < 0.3
+        place = {r["protein_id"]: (r["part"], r["n"]) for r in g.places.to_pylist()}
+        labels = [(*place[x], f"t{n}", 1.0) for n in range(11) for x in (["n00", "n39", "x"], ["n05"], ["y"])[n % 3]]
+        batch = pa.RecordBatch.from_pylist([dict(zip(("part", "n", "term_id", "y"), x)) for x in labels])
+        parts = type("Sent", (), {"value": g.parts})
+        return len(g.parts), [r for x in blocks.solve(iter([batch]), parts, g.radius, rounds, 1e-12, top) for r in x.to_pylist()]
+
+    one = [run(), run(8), run(8, (2, 4))]
+    for name, value in {"SMALL": 1, "CELLS": 1, "WIDTH": 2, "GATHERED": 8, "ROWS": 1}.items():
+        monkeypatch.setattr(blocks, name, value)
+    many = [run(), run(8), run(8, (2, 4))]
+    assert {x[0] for x in one} == {1} and {x[0] for x in many} == {2}
+    assert all(len(a) == len(b) == len(rows(a)) and rows(b) == pytest.approx(rows(a), abs=1e-11) for (_, a), (_, b) in zip(one, many))
+    best = {}
+    for (protein, term), score in sorted(rows(one[1][1]).items(), key=lambda x: (-math.floor(x[1] * 1e4 + 0.5), x[0][1])):
+        best.setdefault(protein, []).append((term, math.floor(score * 1e4 + 0.5) / 1e4))
+    assert rows(one[2][1]) == {(p, t): v for p, x in best.items() for t, v in x[:2]}
+
+
 def test_masked_jaccard(spark):
     got = table(di.masked_jaccard(gr.canonical(spark.createDataFrame(EDGES, G))))
     assert got == {("a", "b"): pytest.approx(0.8 * 0.472222222), ("b", "c"): pytest.approx(0.5 * 0.302083333), ("a", "c"): pytest.approx(0.2 * 0.205128205)}
