@@ -94,6 +94,11 @@ def test_label_weighted_runs_in_blocks(spark, monkeypatch):
     assert got == want and len(got) == 83
 
 
+def test_laplacian_runs_in_blocks(spark, monkeypatch):
+    got, want = spread_by(spark, monkeypatch, "laplacian")
+    assert got == want and len(got) == 83
+
+
 def test_blocks_of_terms(spark, monkeypatch):
     """Parts and terms that are solved apart give what one block gives."""
     pairs = [(*x, 0.1) for e in LONG for x in (e[:2], e[1::-1])]
