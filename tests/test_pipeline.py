@@ -99,6 +99,14 @@ def test_laplacian_runs_in_blocks(spark, monkeypatch):
     assert got == want and len(got) == 83
 
 
+def test_best_terms_are_found_in_the_blocks(spark, monkeypatch):
+    """One term of each protein leaves its task, the same that a ranking of all gives; equal rounded scores go by the term."""
+    got, want = spread_by(spark, monkeypatch, "laplacian", top=(1, 4))
+    digits = lambda x: math.floor(x * 1e4 + 0.5) / 1e4
+    best = lambda rows: {p: min((-digits(v), t) for (q, t), v in rows.items() if q == p) for p, _ in rows}
+    assert best(got) == best({k: v.expected for k, v in want.items()}) and all(got[k] == pytest.approx(want[k].expected, abs=5.1e-5) for k in got)
+
+
 def test_blocks_of_terms(spark, monkeypatch):
     """Parts and terms that are solved apart give what one block gives."""
     pairs = [(*x, 0.1) for e in LONG for x in (e[:2], e[1::-1])]
