@@ -107,6 +107,12 @@ def test_best_terms_are_found_in_the_blocks(spark, monkeypatch):
     assert best(got) == best({k: v.expected for k, v in want.items()}) and all(got[k] == pytest.approx(want[k].expected, abs=5.1e-5) for k in got)
 
 
+def test_eight_rounds_of_the_consistency_method(spark, monkeypatch):
+    """Only pairs within eight links of a label come out."""
+    got, want = spread_by(spark, monkeypatch, "consistency-method", rounds=8)
+    assert got == want and len(got) < 60
+
+
 def test_blocks_of_terms(spark, monkeypatch):
     """Parts and terms that are solved apart give what one block gives."""
     pairs = [(*x, 0.1) for e in LONG for x in (e[:2], e[1::-1])]
