@@ -118,6 +118,11 @@ def test_eight_rounds_of_label_weighted(spark, monkeypatch):
     assert got == want and len(got) < 60
 
 
+def test_eight_rounds_of_laplacian(spark, monkeypatch):
+    got, want = spread_by(spark, monkeypatch, "laplacian", rounds=8)
+    assert got == want and len(got) < 60
+
+
 def test_blocks_of_terms(spark, monkeypatch):
     """Parts and terms that are solved apart give what one block gives."""
     pairs = [(*x, 0.1) for e in LONG for x in (e[:2], e[1::-1])]
