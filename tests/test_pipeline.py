@@ -149,6 +149,28 @@ def test_blocks_of_terms(spark, monkeypatch):
     assert rows(one[2][1]) == {(p, t): v for p, x in best.items() for t, v in x[:2]}
 
 
+def test_rounds_are_single_and_refined(spark, monkeypatch):
+    """Rounds move singles, the residual is double; each part has its own radius, and a small margin takes doubles."""
+    pairs = lambda w: [(*x, w) for a, b, _ in LONG[:-2] for x in ((a, b), (b, a))] + [("x", "y", 0.9), ("y", "x", 0.9)]
+    monkeypatch.setattr(blocks, "SMALL", 1)
+    kinds, product = [], blocks.product
+    monkeypatch.setattr(blocks, "product", lambda p, x, *a: (kinds.append(x.dtype.name), product(p, x, *a)))
+
+    def run(w):
+        kinds.clear()
+        g = blocks.graph(spark.createDataFrame(pairs(w), "i string, j string, w double"))
+        p = max(g.parts, key=lambda p: len(p.ids))
+        m, b = np.zeros((40, 40)), np.zeros((40, 2))
+        m[np.repeat(np.arange(40), np.diff(p.at)), p.ends] = p.weights
+        b[3, 0], b[7, 1] = 1.0, 0.3
+        assert np.abs(blocks.converged(p, b, g.radius, 1e-12) - np.linalg.solve(np.eye(40) - m, b)).max() < 1e-11
+        return g.radius, p.radius, kinds.count("float32"), kinds.count("float64")
+
+    whole, own, single, double = run(0.4)
+    assert whole == pytest.approx(0.9) and own < 0.81 and single > 20 and 1 < double < 6
+    assert run(0.499)[2] == 0
+
+
 def test_masked_jaccard(spark):
     got = table(di.masked_jaccard(gr.canonical(spark.createDataFrame(EDGES, G))))
     assert got == {("a", "b"): pytest.approx(0.8 * 0.472222222), ("b", "c"): pytest.approx(0.5 * 0.302083333), ("a", "c"): pytest.approx(0.2 * 0.205128205)}
