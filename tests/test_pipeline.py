@@ -149,6 +149,26 @@ def test_blocks_of_terms(spark, monkeypatch):
     assert rows(one[2][1]) == {(p, t): v for p, x in best.items() for t, v in x[:2]}
 
 
+@pytest.mark.parametrize("rounds", [8, None])
+def test_scores_are_sent_by_blocks(spark, monkeypatch, rounds):
+    """A row that leaves a task holds many pairs and each name once; taken apart, rows are the pairs reached."""
+    pairs = [(*x, 0.1) for e in LONG for x in (e[:2], e[1::-1])]
+    g = blocks.graph(spark.createDataFrame(pairs, "i string, j string, w double"))
+    place = {r["protein_id"]: (r["part"], r["n"]) for r in g.places.to_pylist()}
+    labels = [(*place[x], f"t{n:02}", 1.0) for n in range(11) for x in (["n00", "n39", "x"], ["n05"], ["y"])[n % 3]]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("part", "n", "term_id", "y"), x)) for x in labels])
+    parts = type("Sent", (), {"value": g.parts})
+    run = lambda packed: [r for x in blocks.solve(iter([batch]), parts, g.radius, rounds, 1e-12, None, packed) for r in x.to_pylist()]
+    for rows, width in ((131072, 256), (30, 4)):
+        monkeypatch.setattr(blocks, "ROWS", rows)
+        monkeypatch.setattr(blocks, "WIDTH", width)
+        want = {(r["protein_id"], r["term_id"]): r["score"] for r in run(False)}
+        sent = run(True)
+        assert len(sent) < len(want) / 8 and all(len(r["scores"]) == len(r["proteins"]) * len(r["terms"]) for r in sent)
+        got = blocks.unpacked(spark.createDataFrame(sent, ", ".join(f"{c} array<{t}>" for c, t in blocks.PACKED.items()))).collect()
+        assert {(r.protein_id, r.term_id): r.score for r in got} == want and len(got) == len(want)
+
+
 def test_rounds_are_single_and_refined(spark, monkeypatch):
     """Rounds move singles, the residual is double; each part has its own radius, and a small margin takes doubles."""
     pairs = lambda w: [(*x, w) for a, b, _ in LONG[:-2] for x in ((a, b), (b, a))] + [("x", "y", 0.9), ("y", "x", 0.9)]
