@@ -169,6 +169,17 @@ def test_scores_are_sent_by_blocks(spark, monkeypatch, rounds):
         assert {(r.protein_id, r.term_id): r.score for r in got} == want and len(got) == len(want)
 
 
+def unpacks(spark, method, rounds=None):
+    """Whether the scores of a method come from its tasks as arrays."""
+    df = di.METHODS[method](gr.canonical(spark.createDataFrame(LONG, G)), spark.createDataFrame(MARKS, S), rounds=rounds, tolerance=1e-12)
+    sent = [x for x in df._jdf.queryExecution().analyzed().toString().splitlines() if "MapInArrow" in x]
+    return [all(f"{c}#" in x for c in blocks.PACKED) for x in sent]
+
+
+def test_laplacian_sends_arrays(spark):
+    assert unpacks(spark, "laplacian") == [True]
+
+
 def test_rounds_are_single_and_refined(spark, monkeypatch):
     """Rounds move singles, the residual is double; each part has its own radius, and a small margin takes doubles."""
     pairs = lambda w: [(*x, w) for a, b, _ in LONG[:-2] for x in ((a, b), (b, a))] + [("x", "y", 0.9), ("y", "x", 0.9)]
