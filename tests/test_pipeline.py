@@ -184,6 +184,10 @@ def test_label_weighted_k8_sends_arrays(spark):
     assert unpacks(spark, "label-weighted", 8) == [True]
 
 
+def test_laplacian_k8_sends_arrays(spark):
+    assert unpacks(spark, "laplacian", 8) == [True]
+
+
 def test_rounds_are_single_and_refined(spark, monkeypatch):
     """Rounds move singles, the residual is double; each part has its own radius, and a small margin takes doubles."""
     pairs = lambda w: [(*x, w) for a, b, _ in LONG[:-2] for x in ((a, b), (b, a))] + [("x", "y", 0.9), ("y", "x", 0.9)]
