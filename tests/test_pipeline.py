@@ -210,6 +210,38 @@ def test_rounds_are_single_and_refined(spark, monkeypatch):
     assert run(0.499)[2] == 0
 
 
+@pytest.mark.parametrize(("rounds", "digits"), [(8, 6), (None, 4)])
+def test_scores_are_rounded_in_the_tasks(spark, monkeypatch, rounds, digits):
+    """Arrays leave a task rounded, and the plan rounds the lone protein alone; a join rounds to the same."""
+    even, edges, labels = lambda x: math.floor(x * 10.0**digits + 0.5) / 10.0**digits, gr.canonical(spark.createDataFrame(LONG, G)), spark.createDataFrame(MARKS, S)
+    run = lambda **k: di.laplacian(edges, labels, rounds=rounds, tolerance=1e-12, **k)
+    want, df = {k: even(v) for k, v in table(run()).items()}, run(digits=digits)
+    assert table(df) == want and df._jdf.queryExecution().analyzed().toString().upper().count("FLOOR(") == 1
+    monkeypatch.setattr(di, "SHIPPED", 0)
+    assert {k: v for k, v in table(run(digits=digits)).items() if v} == {k: v for k, v in want.items() if v}
+
+
+def path(monkeypatch):
+    """A path of forty proteins, labels of two terms near its start, and the rows of each product."""
+    m = np.zeros((40, 40))
+    m[range(39), range(1, 40)] = m[range(1, 40), range(39)] = 0.2
+    order = np.argsort((m > 0).sum(1), kind="stable")
+    m = m[np.ix_(order, order)]
+    i, j = np.nonzero(m)
+    part = blocks.Part(pa.array([f"n{x}" for x in order]), np.zeros(40, np.int64), np.searchsorted(i, np.arange(41)), j, m[i, j], 0.4)
+    b, sizes, product = np.zeros((40, 2)), [], blocks.product
+    b[order == 3, 0], b[order == 5, 1] = 1.0, 0.3
+    monkeypatch.setattr(blocks, "product", lambda p, x, out, then: (sizes.append(len(out)), product(p, x, out, then)))
+    return part, m, b, sizes
+
+
+def test_first_weighted_rounds_go_over_few_links(monkeypatch):
+    part, m, b, sizes = path(monkeypatch)
+    got, left = blocks.chebyshev(part, b, 0.4, 1e-13, 100)
+    assert np.abs(got - np.linalg.solve(np.eye(40) - m, b)).max() < 1e-12 and left <= 1e-13
+    assert sizes[:2] == [3, 7] and sizes[-1] == 40
+
+
 def test_masked_jaccard(spark):
     got = table(di.masked_jaccard(gr.canonical(spark.createDataFrame(EDGES, G))))
     assert got == {("a", "b"): pytest.approx(0.8 * 0.472222222), ("b", "c"): pytest.approx(0.5 * 0.302083333), ("a", "c"): pytest.approx(0.2 * 0.205128205)}
