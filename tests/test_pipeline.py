@@ -242,6 +242,15 @@ def test_first_weighted_rounds_go_over_few_links(monkeypatch):
     assert sizes[:2] == [3, 7] and sizes[-1] == 40
 
 
+def test_first_plain_rounds_go_over_few_links(monkeypatch):
+    part, m, b, sizes = path(monkeypatch)
+    want = b
+    for r in range(9):
+        assert np.abs(blocks.counted(part, b, r) - want).max() < 1e-15
+        want = b + m @ want
+    assert sizes[-8:-6] == [3, 7] and sizes[-1] == 40
+
+
 def test_masked_jaccard(spark):
     got = table(di.masked_jaccard(gr.canonical(spark.createDataFrame(EDGES, G))))
     assert got == {("a", "b"): pytest.approx(0.8 * 0.472222222), ("b", "c"): pytest.approx(0.5 * 0.302083333), ("a", "c"): pytest.approx(0.2 * 0.205128205)}
