@@ -251,6 +251,22 @@ def test_first_plain_rounds_go_over_few_links(monkeypatch):
     assert sizes[-8:-6] == [3, 7] and sizes[-1] == 40
 
 
+def test_reached_pairs_end_when_all_are(monkeypatch):
+    """Words of 64 terms go their rounds apart, none after all its pairs are reached."""
+    part, m, _, _ = path(monkeypatch)
+    n, t = np.array([3, 20, 39, *range(40)]), np.array([0, 70, 70, *[1] * 40])
+    near = np.zeros((40, 71))
+    near[n, t] = 1
+    passes, reduce = [], np.bitwise_or
+    monkeypatch.setattr(blocks.np, "bitwise_or", type("Or", (), {"reduceat": staticmethod(lambda x, at: (passes.append(x.ndim), reduce.reduceat(x, at))[1])}))
+    for r in range(60):
+        assert (blocks.reached(part, n, t, 71, r) == (near.T > 0)).all()
+        near = near + (m > 0) @ near > 0
+    passes.clear()
+    blocks.reached(part, np.arange(40), np.zeros(40, np.int64), 1, 8)
+    assert passes == []
+
+
 def test_masked_jaccard(spark):
     got = table(di.masked_jaccard(gr.canonical(spark.createDataFrame(EDGES, G))))
     assert got == {("a", "b"): pytest.approx(0.8 * 0.472222222), ("b", "c"): pytest.approx(0.5 * 0.302083333), ("a", "c"): pytest.approx(0.2 * 0.205128205)}
