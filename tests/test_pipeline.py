@@ -521,3 +521,8 @@ def circle(spark, monkeypatch, run, weight, k, y):
 def test_consistency_method_of_a_million_links_writes_no_round(spark, monkeypatch):
     got, want, names = circle(spark, monkeypatch, lambda e, s: di.consistency(e, s, digits=4), 0.5 / 8, (1, 1), 0.5)
     assert len(got) == 125_100 and max(abs(want[i] - v) for i, v in got.items()) < 0.51e-4 and "round" not in names
+
+
+def test_laplacian_of_a_million_links_writes_no_round(spark, monkeypatch):
+    got, want, names = circle(spark, monkeypatch, lambda e, s: di.laplacian(e, s, digits=4), 0.1 / 8, (1.1, 1.1), 1.0)
+    assert len(got) == 125_100 and max(abs(want[i] - v) for i, v in got.items()) < 0.51e-4 and "round" not in names
