@@ -541,3 +541,8 @@ def test_eight_rounds_of_consistency_method_over_a_million_links_write_none(spar
 def test_eight_rounds_of_label_weighted_over_a_million_links_write_none(spark, monkeypatch):
     got, want, names = circle(spark, monkeypatch, lambda e, s: di.label_weighted(e, s, rounds=8, digits=6), 1 / 8, (2.1, 1.1), 1.1)
     assert 1000 < len(got) < 125_100 and max(abs(want[i] - v) for i, v in got.items()) < 0.51e-6 and "round" not in names
+
+
+def test_eight_rounds_of_laplacian_over_a_million_links_write_none(spark, monkeypatch):
+    got, want, names = circle(spark, monkeypatch, lambda e, s: di.laplacian(e, s, rounds=8, digits=6), 0.1 / 8, (1.1, 1.1), 1.0)
+    assert 1000 < len(got) < 125_100 and max(abs(want[i] - v) for i, v in got.items()) < 0.51e-6 and "round" not in names
